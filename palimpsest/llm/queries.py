@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, secrets, toxicity
+from . import bpe, media, packing, secrets, token_output, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -44,6 +44,16 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_output.write_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
+    return token_output.read_tokens(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = secrets.find_secrets(table(spark, sf_dir, "documents"))
     kinds = F.array(*[F.lit(k) for k in secrets.KINDS])
@@ -69,6 +79,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_media": op2_media,
+    "op7_token_output": op7_token_output,
+    "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
     "op10_toxicity": op10_toxicity,
 }
