@@ -28,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import Rows, id_and_text, spool
 
@@ -218,8 +219,9 @@ def compare_blocks(keys: list, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """``doc_id, class_id, n_links, is_kept``: one row per document. ``n_links`` counts the links of its text to
-    other texts; ``is_kept`` marks one row of each class (of equal ids, some one of them)."""
+    """``doc_id, class_id, n_links, is_kept, node``: one row per document. ``n_links`` counts the links of its text to
+    other texts; ``is_kept`` marks one row of each class (of equal ids, some one of them);
+    ``node`` is the digest of the text."""
     signed = spool(id_and_text(docs, id_col, text_col).mapInArrow(Sign(), "doc_id long, node binary, keys array<long>, registers binary, text string").withColumn("row_id", F.monotonically_increasing_id()), "signed")
     # copies of a text are one node, for which its first row stands
     first = signed.groupBy("node").agg(F.min("row_id").alias("row_id"))
@@ -248,4 +250,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = spool(signed.select("row_id", "doc_id", "node").join(known, "node", "left").select("row_id", "doc_id", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
     # the least id, null last; of rows with that id the first
     kept = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("kept"))
-    return named.join(kept, "label").select("doc_id", F.col("kept.doc_id").alias("class_id"), "n_links", (F.col("row_id") == F.col("kept.row_id")).alias("is_kept"))
+    return named.join(kept, "label").select("doc_id", F.col("kept.doc_id").alias("class_id"), "n_links", (F.col("row_id") == F.col("kept.row_id")).alias("is_kept"), "node")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """The rows with all their columns, one of each class of near-duplicates."""
+    kept = near_duplicates(docs, id_col, text_col, least).where("is_kept").select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("row"), docs[id_col].cast("long").alias("row_doc"), F.unhex(F.md5(F.coalesce(docs[text_col], F.lit("")))).alias("row_node"))
+    same = F.col("row_doc").eqNullSafe(F.col("kept_id")) & (F.col("row_node") == F.col("kept_node"))
+    # rows that repeat both id and text are one row; the window reuses the join's partitioning
+    turn = F.row_number().over(Window.partitionBy("kept_id", "kept_node").orderBy(F.lit(1)))
+    return rows.join(kept, same).select("row", turn.alias("turn")).where("turn = 1").select(*[F.col("row")[c].alias(c) for c in docs.columns])

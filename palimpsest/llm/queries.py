@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, packing, pii, probminhash, secrets, token_counts, token_output, toxicity
+from . import bpe, media, nndescent, packing, pii, probminhash, secrets, token_counts, token_output, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -55,6 +55,11 @@ def op4_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "is_kept")
 
 
+def op5_nndescent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = nndescent.Index(table(spark, sf_dir, "embeddings"))
+    return index.search(F.col("vec_id") % 20 == 0, k=20).select("query_id", "rank", "vec_id", "score")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media,
     "op3_pii": op3_pii,
     "op4_probminhash": op4_probminhash,
+    "op5_nndescent": op5_nndescent,
     "op6_token_counts": op6_token_counts,
     "op7_token_output": op7_token_output,
     "op8_packing": op8_packing,

@@ -15,10 +15,11 @@ larger label; without labels of both classes every score is the prior; further c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -191,6 +192,16 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     return Model(chosen, weights, intercept)
 
 
+def scorer(model: Model) -> Callable[[Column | str], Column]:
+    """The score of a text column, as a column; a null text is the empty one."""
+
+    @F.pandas_udf("double")
+    def of(text: pd.Series) -> pd.Series:
+        return pd.Series([model.score(t or "") for t in text], dtype="float64")
+
+    return of
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score``: one pass over whole texts, no shuffle."""
     return id_and_text(docs, id_col, text_col).mapInArrow(Score(model), "doc_id long, score double")
