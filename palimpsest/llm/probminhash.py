@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = components(linked)
     degree = linked.select(F.col("a").alias("node")).union(linked.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     known = labels.join(degree, "node", "left")
-    named = spool(signed.select("row_id", "doc_id", "node").join(known, "node", "left").select("row_id", "doc_id", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    named = spool(signed.select("row_id", "doc_id", "node").join(known, "node", "left").select("row_id", "doc_id", "node", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
     # the least id, null last; of rows with that id the first
     kept = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("kept"))
     return named.join(kept, "label").select("doc_id", F.col("kept.doc_id").alias("class_id"), "n_links", (F.col("row_id") == F.col("kept.row_id")).alias("is_kept"), "node")
