@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    pass
+    from palimpsest.plans import documents, relational  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
