@@ -404,3 +404,36 @@ def quality_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").alias("n"))
     both = docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     return both.groupBy("lang", F.col("quality").cast("long").alias("quality")).agg(F.count("*").alias("n"), F.sum("n").alias("n_chars"))
+
+
+def as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as bytes: hard returns, in every third one a blank line after each line."""
+    brk = F.when(F.col("doc_id") % 3 == 0, F.lit("\n\n")).otherwise(F.lit("\n"))
+    held = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), brk).alias("t"))
+    return held.select("doc_id", codec.encode_cp437(F.replace("t", F.lit("\n"), F.lit("\r\n"))).alias("content"))
+
+
+@query(
+    "parsed_lines",
+    "SELECT doc_id, ((len(string_split(text, chr(10))) - 1) * (CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END) + 1)::BIGINT AS n_lines, length(replace(text, chr(10), ''))::BIGINT AS n_chars FROM documents",
+)
+def parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte reader over framed documents: its lines and the characters it kept."""
+    from palimpsest.operators.wordfile import read_documents
+
+    read = read_documents(as_files(spark, sf_dir))
+    n = F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + F.length(x["text"]))
+    return read.select("doc_id", F.size("lines").cast("long").alias("n_lines"), n.alias("n_chars"))
+
+
+def _emitted(to: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from palimpsest.operators.emit import convert
+
+        return convert(as_files(spark, sf_dir), to=to)
+
+    return run
+
+
+for _format in ("text", "markdown", "html", "rtf", "layout", "diagnose", "pdf", "native"):
+    query(f"emit_{_format}")(_emitted(_format))
