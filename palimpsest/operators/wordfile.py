@@ -490,9 +490,9 @@ def dots_of(doc: Document) -> Iterator[tuple[int, str, str]]:
             yield pos, m[1].lower(), m[2].strip()
 
 
-def row(doc_id: int | None, data: bytes | None, encoding: str) -> tuple:
+def row(doc_id: int | None, data: bytes | None, encoding: str, variant: str | None = None) -> tuple:
     try:
-        d = parse(data or b"", encoding=encoding)
+        d = parse(data or b"", variant, encoding)
     except ParseError as e:
         return (doc_id, None, None, None, None, [], [], [], [], [], [], 0, {"kind": e.kind, "message": str(e)})
     spans = lambda x: [{"text": s.text, "styles": list(s.styles), "font": s.font, "colour": s.colour, "ref": s.ref} for s in x.spans]
@@ -502,14 +502,15 @@ def row(doc_id: int | None, data: bytes | None, encoding: str) -> tuple:
     return (doc_id, d.variant, d.release, d.driver, d.margin, lines, notes, dots, d.fonts, d.graphics, d.includes, len(d.unknown), None)
 
 
-def read_documents(files: DataFrame, encoding: str = "cp437") -> DataFrame:
-    """``doc_id, content`` to one row of typed arrays each. What can't be read is a row with an error."""
+def read_documents(files: DataFrame, encoding: str = "cp437", variant: str | None = None) -> DataFrame:
+    """``doc_id, content`` to one row of typed arrays each. What can't be read is a row with an error. ``variant``
+    overrules what the bytes look like."""
     names = [f.split()[0] for f in ("doc_id", "variant", "release", "driver", "margin", "lines", "notes", "dots", "fonts", "graphics", "includes", "n_unknown", "error")]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a in range(0, len(batch), 64):
                 part = batch.iloc[a : a + 64]
-                yield pd.DataFrame([row(i, None if b is None else bytes(b), encoding) for i, b in zip(part["doc_id"], part["content"], strict=True)], columns=names)
+                yield pd.DataFrame([row(i, None if b is None else bytes(b), encoding, variant) for i, b in zip(part["doc_id"], part["content"], strict=True)], columns=names)
 
     return files.select("doc_id", "content").mapInPandas(read, SCHEMA)
