@@ -74,8 +74,9 @@ class Encode:
         counts = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encode(text.as_py()) + self.end
-                n = np.bincount(np.frombuffer(ids, dtype="<u4"))
+                raw = np.frombuffer(encode(text.as_py()) + self.end, dtype="<u4")
+                ids = len(raw).to_bytes(8, "little") + pack(raw)  # half the bytes to store and shuffle
+                n = np.bincount(raw)
                 if len(n) > len(counts):
                     counts = np.concatenate([counts, np.zeros(len(n) - len(counts), np.int64)])
                 counts[: len(n)] += n
@@ -117,7 +118,8 @@ class Segments:
 
         for batch in batches:
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                x = np.frombuffer(ids.as_py(), dtype="<u4")
+                data = ids.as_py()
+                x = unpack(memoryview(data)[8:], int.from_bytes(data[:8], "little"))
                 docs.append(doc_id)
                 held.append(x)
                 n += len(x)
