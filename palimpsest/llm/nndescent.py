@@ -12,7 +12,7 @@ Bounds that are parameters of the algorithm, not of its input: neighbours kept (
 node in expectation (``back``; a hub's are thinned by hash), nodes expanded in a round (``width``), rounds. They decide
 recall, which the tests measure against brute force. A query that the graph gives too few nodes is scored against all.
 
-Defined results: vectors that are null, empty, zero, of another length than the longest kind, or hold null or
+Defined results: vectors that are null, empty, zero, of another length than the commonest, or hold null or
 non-finite components take no part, neither as queries nor as candidates; null ids neither; equal scores go to the
 smaller id; repeated ids are candidates each; an empty table gives an empty one; further columns are dropped.
 """

@@ -20,7 +20,7 @@ def shared_root(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``. Where that is unset, a local session gets one of its own
     (removed at exit); a cluster session is refused, since its executors share no local folder."""
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if root is None:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
@@ -40,6 +40,12 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Removes what this application spooled. For when results are written: tables made before can't be read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/spool/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the two columns, a null text as the empty one. Other columns, whatever their names, are left behind."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
