@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from . import wordfile
-from .wordfile import Document, Line, Span
+from .wordfile import Document, Format, Line, Span
 
 Emitter = Callable[..., str | bytes]
 _registry: dict[str, tuple[Emitter, str]] = {}
@@ -61,14 +61,17 @@ def body(doc: Document) -> list[Line]:
     return [x for x in doc.lines if not re.match(r"^\.([A-Za-z]{1,3}\b|\.|p#|l#|f#|e#)", x.text)]
 
 
-def merged(lines: list[Line]) -> list[list[Span]]:
+def merged(lines: list[Line], formats: dict[int, Format]) -> list[list[Span]]:
     """Logical lines: wrapped ones joined by a space, the continuation without its indent. An empty list is a break
-    between paragraphs."""
+    between paragraphs; one also stands wherever the format changes."""
     out: list[list[Span]] = []
-    joining = False
+    joining, last = False, None
     for line in lines:
         if line.sep.startswith("blank"):
             continue
+        if not joining and last is not None and formats.get(id(line)) != last:
+            out.append([])
+        last = formats.get(id(line))
         spans = [Span(**vars(s)) for s in line.spans]
         if joining and out:
             for s in spans:
@@ -116,23 +119,37 @@ def roman(n: int) -> str:
     return "m" * (n // 1000) + hundreds[n // 100 % 10] + tens[n // 10 % 10] + units[n % 10] if n > 0 else str(n)
 
 
-def paragraphs(doc: Document) -> Iterator[list[list[Span]]]:
-    held: list[list[Span]] = []
-    for line in merged(body(doc)):
-        if line:
+class Group(list):
+    """Lines of spans that stand together, with the format they begin in."""
+
+    format: Format = Format()
+
+
+def paragraphs(doc: Document) -> Iterator[Group]:
+    known = {id(line): f for line, f in zip(doc.lines, wordfile.formats(doc), strict=True)}
+    lines = [x for x in body(doc) if not x.sep.startswith("blank")]
+    firsts = iter([x for k, x in enumerate(lines) if not k or lines[k - 1].sep != "wrap"])
+    held = Group()
+    for line in merged(lines, known):
+        if line or not held:
+            if not line:
+                continue
+            first = next(firsts)
+            if not held:
+                held.format = known[id(first)]
             held.append(line)
-        elif held:
+        else:
             yield held
-            held = []
+            held = Group()
     if held:
         yield held
 
 
-def rows(doc: Document, mode: str) -> Iterator[list[list[Span]]]:
+def rows(doc: Document, mode: str) -> Iterator[Group]:
     """Groups of lines: paragraphs, or in printed mode each physical line by itself."""
     if mode == "printed":
         for line in body(doc):
-            yield [coalesced(line.spans)]
+            yield Group([coalesced(line.spans)])
     else:
         yield from paragraphs(doc)
 
@@ -176,7 +193,8 @@ def markdown(doc: Document, mode: str = "modern", notes: tuple[str, ...] = DEFAU
     if effective_mode(doc, mode) == "printed":
         out = "```text\n" + "\n".join(x.text for x in body(doc)) + "\n```"
     else:
-        out = "\n\n".join("  \n".join("".join(map(say, line)).lstrip() for line in group) for group in paragraphs(doc))
+        lead = lambda f: "#" * f.heading + " " if f.heading else "> " if f.quote else ""
+        out = "\n\n".join(lead(group.format) + ("  \n" + ("> " if group.format.quote else "")).join("".join(map(say, line)).lstrip() for line in group) for group in paragraphs(doc))
     for k, _, _, _, t in _listed(doc, notes):
         out += f"\n\n[^{slug(k)}]: " + re.sub(r"\\", r"\\\\", t).lstrip()
     return out + "\n"
@@ -205,7 +223,14 @@ def html(doc: Document, mode: str = "modern", notes: tuple[str, ...] = DEFAULT_N
     if effective_mode(doc, mode) == "printed":
         inner = "<pre>" + "\n".join("".join(map(say, coalesced(x.spans))) for x in body(doc)) + "</pre>"
     else:
-        inner = "\n".join("<p>" + "<br>\n".join("".join(map(say, line)) for line in group) + "</p>" for group in paragraphs(doc))
+        def placed(f: Format, said: str) -> str:
+            tag = f"h{f.heading}" if f.heading else "p"
+            look = f' style="text-align:{f.align}"' if f.align != "left" else ""
+            name = f' class="{re.sub(r"[^a-z0-9]+", "-", f.style.lower()).strip("-")}"' if f.style else ""
+            made = f"<{tag}{name}{look}>{said}</{tag}>"
+            return f"<blockquote>{made}</blockquote>" if f.quote else made
+
+        inner = "\n".join(placed(group.format, "<br>\n".join("".join(map(say, line)) for line in group)) for group in paragraphs(doc))
     listed = "".join(f'<li id="{anchor(k)}" role="doc-{"endnote" if kind == "endnote" else "footnote"}">{_html.escape(t)} <a role="doc-backlink" href="#ref-{anchor(k)}">↩</a></li>\n' for k, kind, _, _, t in _listed(doc, notes))
     faces = "".join(f".font{k}{{font-size:{f['height_vmi'] / 20:g}pt}}\n" for k, f in enumerate(doc.fonts))
     return f'<!DOCTYPE html>\n<html><head><meta charset="utf-8"><style>\n{faces}</style></head><body>\n{inner}\n' + (f'<section role="doc-endnotes"><ol>\n{listed}</ol></section>\n' if listed else "") + "</body></html>\n"
@@ -243,9 +268,11 @@ def rtf(doc: Document, mode: str = "modern", notes: tuple[str, ...] = DEFAULT_NO
         on += f"\\cf{span.colour}" if span.colour else ""
         return f"{{{on} {rtf_text(span.text)}}}" if on else rtf_text(span.text)
 
-    paras = ["\\line\n".join("".join(map(say, line)) for line in group) for group in rows(doc, effective_mode(doc, mode))]
+    control = {"center": "\\qc ", "right": "\\qr ", "justify": "\\qj "}
+    look = lambda f: control.get(f.align, "") + (f"\\outlinelevel{f.heading - 1}\\b " if f.heading else "")
+    paras = [look(group.format) + "\\line\n".join("".join(map(say, line)) for line in group) for group in rows(doc, effective_mode(doc, mode))]
     face = "Courier New" if effective_mode(doc, mode) == "printed" else "Times New Roman"
-    return f"{{\\rtf1\\ansi\\deff0{{\\fonttbl{{\\f0 {face};}}}}\\paperw12240\\paperh15840\\fs24\n" + "".join(f"\\pard {p}\\par\n" for p in paras) + "}\n"
+    return f"{{\\rtf1\\ansi\\deff0{{\\fonttbl{{\\f0 {face};}}}}\\paperw12240\\paperh15840\\fs24\n" + "".join(f"\\pard\\plain {p}\\par\n" for p in paras) + "}\n"
 
 
 @emitter("layout", "json", ("json",))
@@ -253,7 +280,8 @@ def layout(doc: Document, mode: str = "modern", notes: tuple[str, ...] = DEFAULT
     span = lambda s: {"text": s.text, "styles": list(s.styles), "font": s.font, "colour": s.colour, "ref": s.ref}
     flow: list[dict] = []
     for group in rows(doc, effective_mode(doc, mode)):
-        flow.append({"kind": "para", "lines": [[span(s) for s in line] for line in group]})
+        f = group.format
+        flow.append({"kind": "para", "heading": f.heading, "align": f.align, "style": f.style, "lines": [[span(s) for s in line] for line in group]})
     flow += [{"kind": "note", "note_kind": kind, "label": label, "shown": shown, "text": t} for _, kind, label, shown, t in _listed(doc, notes)]
     meta = {"variant": doc.variant, "release": doc.release, "driver": doc.driver, "margin": doc.margin, "mode": effective_mode(doc, mode)}
     return json.dumps({"meta": meta, "flow": flow, "fonts": doc.fonts}, ensure_ascii=False, sort_keys=True)

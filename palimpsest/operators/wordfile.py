@@ -22,6 +22,8 @@ SILENT = {0x03, 0x0B, 0x10, 0x11, 0x12, 0x15, 0x17, 0x1C}
 NOTES = {3: "footnote", 4: "endnote", 5: "annotation", 6: "comment"}
 RELEASES = {0x50, 0x55, 0x60, 0x70}
 PRINT_CODES = {0x05: ("i", 1), 0x06: ("i", 0), 0x10: ("u", 1), 0x11: ("u", 0), 0x12: ("sup", 0), 0x13: ("i", 1), 0x15: ("i", 0), 0x18: ("sup", 1), 0x1E: ("b", 1), 0x1F: ("b", 0)}
+#: Fixed: controls that newer files write with bit 7 set, outside wrapped characters.
+FLAGGED = {0x82: 0x02, 0x8C: 0x0C, 0x94: 0x14}
 #: Fixed: bits of a style record's attribute word.
 ATTRIBUTES = {1: "strike", 2: "b", 8: "u", 16: "sub", 32: "sup", 64: "b", 128: "i"}
 
@@ -188,10 +190,13 @@ class Reader:
                 self.close(data[start:at], m[0])
                 at = start = m.end()
                 continue
+            if self.blocks:
+                b = FLAGGED.get(b, b)
             if b == 0x0C:
-                self.close(data[start:at], b"\x0c") if at > start else None
+                own = data[at : at + 1]  # plain or flagged
+                self.close(data[start:at], own) if at > start else None
                 self.line.page = True
-                self.line.raw += b"\x0c" if at == start else b""
+                self.line.raw += own if at == start else b""
                 at += 1
                 start = at
                 continue
@@ -379,6 +384,7 @@ def style_library(data: bytes, base: int, encoding: str) -> list[dict]:
                 said = lambda o, none: None if i16(data, record + o) == none else i16(data, record + o)  # noqa: E731, B023
                 style |= {"left": said(10, -2), "right": said(12, -2), "para": said(14, -2), "line_height_vmi": said(88, -1)}
                 bits = u16(data, record + 91)
+                style["align"] = JUSTIFIED.get(int.from_bytes(data[record + 86 : record + 87], "little", signed=True))
                 style["attrs"] = sorted({tag for bit, tag in ATTRIBUTES.items() if bits & bit})
             out.append(style)
     return out
@@ -395,6 +401,50 @@ def heading_level(name: str) -> int | None:
     return 1 if "title" in n else None
 
 
+@dataclass
+class Format:
+    """What holds where a line begins: from its style record if it has one, else from the dot commands."""
+
+    heading: int | None = None
+    align: str = "left"
+    style: str | None = None
+    attrs: tuple[str, ...] = ()
+
+    @property
+    def quote(self) -> bool:
+        return "quote" in (self.style or "").lower()
+
+
+JUSTIFIED = {0: "left", 1: "justify", -2: "center", -3: "right"}
+
+
+def formats(doc: Document) -> list[Format]:
+    """One for each line. A style stays in force until the next selection; handles of other pools change nothing."""
+    slots = {s["slot"]: s for s in doc.styles}
+    chosen: dict[int, int] = {}
+    for at, kind, handle in doc.marks:
+        if kind == "style" and handle >> 8 == 2:
+            chosen[at] = handle & 0xFF
+    style: dict | None = None
+    centre, justify = False, "left"
+    out = []
+    for pos, line in enumerate(doc.lines):
+        if pos in chosen:
+            style = slots.get(chosen[pos])
+        m = re.match(r"(?i)^\.(oc|oj)\s+(on|off|[cr])\b", line.text)
+        if m:
+            word = m[2].lower()
+            if m[1].lower() == "oc":
+                centre = word == "on"
+            else:
+                justify = {"on": "justify", "off": "left", "c": "center", "r": "right"}[word]
+        own = (style or {}).get("align")
+        align = own or ("center" if centre else justify)
+        name = (style or {}).get("name")
+        out.append(Format(heading_level(name) if name else None, align, name, tuple((style or {}).get("attrs", ()))))
+    return out
+
+
 def blank(line: Line) -> bool:
     return not line.text.strip()
 
@@ -410,7 +460,7 @@ def separate(lines: list[Line], width: int, soft_is_wrap: bool) -> None:
     ahead: Line | None = None
     hard = total = 0
     for line in reversed(lines):
-        own_hard = line.hard or line.brk == b"\x0c"
+        own_hard = line.hard or line.brk in (b"\x0c", b"\x8c")
         if blank(line):
             line.sep = "blank-hard" if own_hard else "blank-soft"
             hard += own_hard

@@ -421,7 +421,8 @@ def parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The byte reader over framed documents: its lines and the characters it kept."""
     from palimpsest.operators.wordfile import read_documents
 
-    read = read_documents(as_files(spark, sf_dir), variant="ws5+")
+    latin = F.regexp_replace(detect.byte_string(F.col("content")), r"([\x80-\xff])", "\x1b$1\x1c")  # as newer files write them
+    read = read_documents(as_files(spark, sf_dir).withColumn("content", F.encode(latin, "ISO-8859-1")), variant="ws5+")
     n = F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + F.length(x["text"]))
     return read.select("doc_id", F.size("lines").cast("long").alias("n_lines"), n.alias("n_chars"))
 

@@ -123,3 +123,35 @@ def test_wrap_at_columns():
 def test_unknown_format():
     with pytest.raises(ValueError, match="no format"):
         emit.get_emitter("nope")
+
+
+def library(base: int) -> bytes:
+    """A style library with one index block of two styles, a heading and a centred quotation."""
+    def entry(name: bytes, at: int) -> bytes:
+        return name.ljust(24) + b"\x02" + bytes(4) + at.to_bytes(4, "little")
+
+    record = lambda just, bits: bytes(86) + just.to_bytes(1, "little", signed=True) + bytes(4) + bits.to_bytes(2, "little") + bytes(9)
+    head = b"\x1aU" + bytes(3) + (2).to_bytes(2, "little") + (102).to_bytes(2, "little") + (13).to_bytes(4, "little")
+    index = bytes([2]) + bytes(4) + entry(b"Title", 13 + 5 + 66) + entry(b"Block Quote", 13 + 5 + 66 + 102)
+    return head + index + record(0, 2) + record(-2, 0)
+
+
+def test_styles_by_library():
+    select = lambda slot: block(0x11, (0x0200 | slot).to_bytes(2, "little") + bytes(6))
+    text = select(0) + b"Big\r\n\r\n" + select(1) + b"said\r\nagain\r\n"
+    size = len(block(0, bytes(20))) + len(text)
+    head = block(0, b"\x55LASER" + bytes(6) + (size).to_bytes(4, "little") + bytes(4))
+    assert len(head) == len(block(0, bytes(20)))
+    d = wordfile.parse(head + text + library(size))
+    assert [(s["name"], s["attrs"], s["align"]) for s in d.styles] == [("Title", ["b"], "left"), ("Block Quote", [], "center")]
+    assert emit.markdown(d).startswith("# Big\n\n> said  \n> again")
+    out = emit.html(d)
+    assert '<h1 class="title">Big</h1>' in out and '<blockquote><p class="block-quote" style="text-align:center">said' in out
+    assert "\\qc said" in emit.rtf(d)
+
+
+def test_alignment_by_dot_commands_and_flagged_controls():
+    d = wordfile.parse(HEAD + b"a\r\n.oc on\r\nmid\r\n.oc off\r\nx\x82y\x82z\r\n")
+    assert [(f.align) for f in wordfile.formats(d)] == ["left", "center", "center", "left", "left"]
+    assert '<p style="text-align:center">mid</p>' in emit.html(d)
+    assert [(s.text, s.styles) for s in d.lines[-1].spans] == [("x", ()), ("y", ("b",)), ("z", ())]
