@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import Rows, id_and_text, spool
+from .token_output import pack as packed_ids
+from .token_output import unpack as unpacked_ids
 from .vocab import read, text_encoder
 
 CAPACITY = 1024
@@ -237,17 +238,36 @@ class Cut:
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = encode(text.as_py()) + self.end
-                n = len(ids) // 4
+                n, whole = len(ids) // 4, np.frombuffer(ids, dtype="<u4")
                 start, stop = 0, n if n <= self.capacity else n % self.capacity or self.capacity
                 piece = 0
                 while start < n:
                     length = stop - start
-                    yield from rows.add((part, doc_id, piece, start, length, counts[length], ids[4 * start : 4 * stop]), 4 * length)
+                    yield from rows.add((part, doc_id, piece, start, length, counts[length], packed_ids(whole[start:stop])), 4 * length)
                     counts[length] += 1
                     piece, start, stop = piece + 1, stop, stop + self.capacity
         yield from rows.flush()
 
 
+class Place:
+    """The pieces with their ids unpacked, their sequences and their places there, in small batches."""
+
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+
+    def __init__(self, plan: Plan):
+        self.plan = plan
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1_000):
+                part = batch.slice(a, 1_000)
+                length = part.column("length").to_numpy()
+                sequence, offset = self.plan.place(length, part.column("rank").to_numpy())
+                ids = [unpacked_ids(x.as_buffer(), n).astype("<u4").tobytes() for x, n in zip(part.column("ids"), length, strict=True)]
+                columns = [*(part.column(c) for c in ("doc_id", "piece", "start", "length")), pa.array(ids, pa.binary()), pa.array(sequence), pa.array(offset)]
+                yield pa.RecordBatch.from_arrays(columns, schema=self.schema)
+
+
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY, groups: int = GROUPS, small: tuple[float, ...] = SMALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids, sequence_id, offset``. A document longer than the capacity is cut into
     pieces of it, of which the first may be shorter. ``ids`` are little-endian unsigned 32-bit integers."""
@@ -259,10 +279,5 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     filled = plan(histogram, capacity, groups, small)
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def placed(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        sequence, offset = filled.place(length.to_numpy(), rank.to_numpy())
-        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
-
-    ranked = pieces.join(bases, "part").withColumn("rank", F.col("place") + F.element_at("bases", F.col("length")))
-    return ranked.select("doc_id", "piece", "start", "length", "ids", placed("length", "rank").alias("at")).select("doc_id", "piece", "start", "length", "ids", "at.sequence_id", "at.offset")
+    ranked = pieces.join(bases, "part").select("doc_id", "piece", "start", "length", (F.col("place") + F.element_at("bases", F.col("length"))).alias("rank"), "ids")
+    return ranked.mapInArrow(Place(filled), "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
