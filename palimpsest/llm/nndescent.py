@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from .shared import spool
 
 NEAR, BACK, TREES, LEAF, ROUNDS = 16, 8, 6, 256, 2
-WIDTH, STEPS, BEAM = 128, 7, 384
+WIDTH, STEPS, BEAM = 256, 8, 512
 #: Nodes in a block; requests to a block that one task takes.
-BLOCK, REQUESTS = 4_096, 20_000
+BLOCK, REQUESTS = 65_536, 4_096
 
 
 def block_of(node: Column | str, blocks: int) -> Column:
