@@ -7,8 +7,8 @@ texts agree in a register with the probability Jaccard similarity of their weigh
 
 Bands of registers are bucket keys. Buckets are never expanded into pairs: every text is compared with its
 bucket's least member, exactly, and texts that are similar enough are linked. Where a bucket still holds several
-components after that, its texts are dealt into blocks, and each pair of blocks compares registers across components
-and reports only pairs that may be similar; those are compared exactly too. Copies of one text are one node from the
+components after that, its texts are dealt into blocks, and each pair of blocks compares registers across components,
+compares the pairs that may be similar exactly too, and reports what joins components. Copies of one text are one node from the
 start. Classes are the connected components of the links.
 
 Defined results: a null text counts as empty; texts without words are alike only if they are equal; a text of fewer
@@ -202,55 +202,74 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def compare_blocks(keys: list, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of texts of two blocks of a bucket, of different components, whose registers mostly agree."""
-    i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-    left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
+def compare_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between components of two blocks of a bucket. Pairs whose registers mostly agree are compared exactly, in
+    the first band that they share and in no other. Components that a link joins are one from there on, so no more
+    links come out than texts went in."""
+    band = pdf["band"].iloc[0]
+    left, right = pdf[pdf["block"] == pdf["i"].iloc[0]], pdf[pdf["block"] == pdf["j"].iloc[0]]
     x, y = (np.frombuffer(b"".join(s["registers"]), dtype=np.uint32).reshape(-1, REGISTERS) for s in (left, right))
     labels_x, labels_y = left["label"].to_numpy(), right["label"].to_numpy()
     nodes_x, nodes_y = left["node"].to_numpy(), right["node"].to_numpy()
+    texts = dict(zip(pdf["node"], pdf["text"], strict=True))
+    elements: dict[bytes, tuple] = {}
+    over: dict[bytes, bytes] = {}
     a, b = [], []
+
+    def root(label: bytes) -> bytes:
+        while label in over:
+            label = over[label]
+        return label
+
     for k in range(len(x)):
-        for m in np.flatnonzero((x[k] == y).mean(axis=1) >= MAYBE):
-            if labels_x[k] != labels_y[m]:
-                a.append(max(nodes_x[k], nodes_y[m]))
-                b.append(min(nodes_x[k], nodes_y[m]))
+        same = x[k] == y
+        maybe = np.flatnonzero((same.mean(axis=1) >= MAYBE) & (labels_y != labels_x[k]))
+        shared = same[maybe].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+        for m in maybe[shared == band]:
+            p, q = root(labels_x[k]), root(labels_y[m])
+            if p == q:
+                continue
+            pair = nodes_x[k], nodes_y[m]
+            for n in pair:
+                if n not in elements:
+                    elements[n] = shingles(texts[n])
+            if similarity(elements[pair[0]], elements[pair[1]]) >= SIMILARITY:
+                over[max(p, q)] = min(p, q)
+                a.append(max(pair))
+                b.append(min(pair))
     return pd.DataFrame({"a": a, "b": b})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """``doc_id, class_id, n_links, is_kept, node``: one row per document. ``n_links`` counts the links of its text to
-    other texts; ``is_kept`` marks one row of each class (of equal ids, some one of them);
+    """``doc_id, class_id, is_kept, node``: one row per document; ``is_kept`` marks one row of each class (the first
+    with the least id);
     ``node`` is the digest of the text."""
     signed = spool(id_and_text(docs, id_col, text_col).mapInArrow(Sign(), "doc_id long, node binary, keys array<long>, registers binary, text string").withColumn("row_id", F.monotonically_increasing_id()), "signed")
     # copies of a text are one node, for which its first row stands
     first = signed.groupBy("node").agg(F.min("row_id").alias("row_id"))
-    buckets = spool(signed.select("row_id", "node", "keys").join(first.select("row_id"), "row_id").select("node", F.explode("keys").alias("key")), "buckets")
+    buckets = spool(signed.select("row_id", "node", "keys").join(first.select("row_id"), "row_id").select("node", F.posexplode("keys").alias("band", "key")), "buckets")
     centres = buckets.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
     pairs = spool(buckets.join(centres, "key").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.lit(1).alias("one")).select("a", "b"), "pairs")
     chosen = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(first, "node").select("row_id")
-    texts = spool(signed.select("row_id", "node", "text").join(chosen, "row_id").select("node", "text"), "texts")
+    # every text of a bucket of two or more is in a pair, so what follows needs no other texts than these
+    texts = spool(signed.select("row_id", "node", "registers", "text").join(chosen, "row_id").select("node", "registers", "text"), "texts")
     linked = spool(links(pairs, texts, least), "links")
     labels = components(linked)
     # buckets that still hold several components
-    member = buckets.join(centres.select("key", "n"), "key").join(labels, "node", "left").select("key", "n", "node", F.coalesce("label", "node").alias("label"))
+    member = buckets.join(centres.select("key", "n"), "key").join(labels, "node", "left").select("band", "key", "n", "node", F.coalesce("label", "node").alias("label"))
     mixed_keys = member.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     member = member.join(mixed_keys, "key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    dealt = member.select("key", "node", "label", blocks.alias("n_blocks"), F.pmod(F.xxhash64("node"), blocks).alias("block"))
+    dealt = member.select("band", "key", "node", "label", blocks.alias("n_blocks"), F.pmod(F.xxhash64("node"), blocks).alias("block"))
     to = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    held = signed.select("row_id", "node", "registers").join(first.select("row_id"), "row_id").select("node", "registers")
-    spread = dealt.join(held, "node").select("key", "node", "label", "block", "registers", F.explode(to).alias("p")).select("key", "node", "label", "block", "registers", "p.i", "p.j")
-    more = spool(spread.groupBy("key", "i", "j").applyInPandas(compare_blocks, "a binary, b binary").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    spread = dealt.join(texts, "node").select("band", "key", "node", "label", "block", "registers", "text", F.explode(to).alias("p")).select("band", "key", "node", "label", "block", "registers", "text", "p.i", "p.j")
+    more = spool(spread.groupBy("key", "i", "j").applyInPandas(compare_blocks, "a binary, b binary"), "links")
     if not more.isEmpty():
-        linked = linked.union(spool(links(more, texts, least), "links"))
-        labels = components(linked)
-    degree = linked.select(F.col("a").alias("node")).union(linked.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = labels.join(degree, "node", "left")
-    named = spool(signed.select("row_id", "doc_id", "node").join(known, "node", "left").select("row_id", "doc_id", "node", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+        labels = components(linked.select("a", "b").union(more))
+    named = spool(signed.select("row_id", "doc_id", "node").join(labels, "node", "left").select("row_id", "doc_id", "node", F.coalesce("label", "node").alias("label")), "classes")
     # the least id, null last; of rows with that id the first
     kept = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("kept"))
-    return named.join(kept, "label").select("doc_id", F.col("kept.doc_id").alias("class_id"), "n_links", (F.col("row_id") == F.col("kept.row_id")).alias("is_kept"), "node")
+    return named.join(kept, "label").select("doc_id", F.col("kept.doc_id").alias("class_id"), (F.col("row_id") == F.col("kept.row_id")).alias("is_kept"), "node")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:

@@ -52,7 +52,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "is_kept")
+    return probminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "is_kept")
 
 
 def op5_nndescent(spark: SparkSession, sf_dir: str) -> DataFrame:
