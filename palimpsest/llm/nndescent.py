@@ -1,16 +1,19 @@
-"""Approximate nearest neighbours by inner product: an NN-descent graph, searched greedily.
+"""Approximate nearest neighbours by inner product: NN-descent graphs of shards, searched greedily.
 
-Equal vectors are one node. For the graph each node gets a unit vector in one more dimension, in which the nearest
-by angle are the nearest by inner product whatever the norms are. The graph starts from random cross-polytope leaves,
-compared within; then each round joins neighbours with neighbours of neighbours, along edges and against them, and
-keeps the best. A query starts at its own node's neighbours and, round by round, expands the best nodes not yet
-expanded. Candidates are scored where the vectors are: a request carries its vector once for each block of nodes
-that it has candidates in, and a block that very many requests ask for is dealt over several tasks. The best found are
-scored again in double precision on the original vectors.
+Equal vectors are one node. For the graphs each node gets a unit vector in one more dimension, in which the nearest
+by angle are the nearest by inner product whatever the norms are. Nodes are dealt by hash into shards of about
+``SHARD``; each shard gets a graph of its own, and every query is searched in every shard, so the effort for a query
+grows with the table and recall doesn't fall: a shard is as hard to search however many there are.
 
-Bounds that are parameters of the algorithm, not of its input: neighbours kept (``near``), reverse edges followed per
-node in expectation (``back``; a hub's are thinned by hash), nodes expanded in a round (``width``), rounds. They decide
-recall, which the tests measure against brute force. A query that the graph gives too few nodes is scored against all.
+A graph starts from random cross-polytope leaves, compared within; then each round joins neighbours with neighbours
+of neighbours, along edges and against them, and keeps the best, until a round changes less than ``DELTA`` of the
+edges. A search starts at the nodes in the query's own leaves and expands the best nodes not yet expanded until none
+of the ``beam`` best is left to expand. The best of all shards are scored again in double precision on the original vectors.
+
+Parameters of the algorithm, not of its input: neighbours kept (``near``), reverse edges followed per node (``back``;
+a hub's are drawn at random), nodes expanded at once (``width``), the best held (``beam``). They decide recall within a
+shard, which the tests measure against brute force. A search that reaches too few nodes scores all of its shard.
+Work grows as queries times shards.
 
 Defined results: vectors that are null, empty, zero, of another length than the commonest, or hold null or
 non-finite components take no part, neither as queries nor as candidates; null ids neither; equal scores go to the
@@ -30,14 +33,12 @@ from pyspark.sql import functions as F
 
 from .shared import spool
 
-NEAR, BACK, TREES, LEAF, ROUNDS = 16, 8, 6, 256, 2
-WIDTH, STEPS, BEAM = 256, 8, 512
-#: Nodes in a block; requests to a block that one task takes.
-BLOCK, REQUESTS = 65_536, 4_096
-
-
-def block_of(node: Column | str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(node), F.lit(blocks))
+NEAR, BACK, TREES, LEAF = 16, 8, 6, 256
+WIDTH, BEAM = 64, 512
+#: Share of the edges: a round that changes fewer is the last one.
+DELTA = 0.01
+#: Nodes in a shard; queries that one task searches it for, and of these, how many at once.
+SHARD, QUERIES, BATCH = 16_384, 16_384, 64
 
 
 def unit(batch: np.ndarray, largest: float) -> np.ndarray:
@@ -71,32 +72,159 @@ def top(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return ids[first[:k]], scores[first[:k]]
 
 
-class Leaf:
-    schema = pa.schema([("tree", pa.int32()), ("leaf", pa.int64()), ("node", pa.int64()), ("g", pa.binary())])
+def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best distinct ids of each row, best first; -1, scored minus infinity, where there are fewer."""
+    order = np.argsort(ids, axis=1, kind="stable")
+    ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+    scores[:, 1:][ids[:, 1:] == ids[:, :-1]] = -np.inf
+    scores[ids < 0] = -np.inf
+    if ids.shape[1] > k:
+        part = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        ids, scores = np.take_along_axis(ids, part, 1), np.take_along_axis(scores, part, 1)
+    order = np.argsort(-scores, axis=1, kind="stable")
+    ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+    return np.where(scores == -np.inf, -1, ids), scores
+
+
+class Graph:
+    """The NN-descent graph of one shard. ``x`` holds unit vectors; nodes are places in it."""
+
+    def __init__(self, x: np.ndarray, near: int, back: int, trees: int, leaf: int, around: np.ndarray | None = None):
+        self.x, self.near, self.back, self.trees = x, near, back, trees
+        split = max(1.0, len(x) / leaf)
+        self.levels = max(1, math.ceil(math.log(split, 64) - 1e-9))
+        self.ways = max(2, math.ceil(split ** (1 / self.levels)))
+        self.leaf = np.stack([leaves(x, t, self.ways, self.levels) for t in range(trees)])
+        self.members = [np.argsort(row, kind="stable") for row in self.leaf]
+        self.around = self._descend(leaf) if around is None else around
+
+    def _descend(self, leaf: int) -> np.ndarray:
+        """Neighbours of each node and about ``back`` of those that have it as theirs, -1 where there are fewer."""
+        x, n = self.x, len(self.x)
+        ids, scores = np.full((n, self.near), -1, np.int32), np.full((n, self.near), -np.inf, np.float32)
+        for t, order in enumerate(self.members):
+            edges = np.flatnonzero(np.diff(self.leaf[t][order])) + 1
+            for group in np.split(order, edges):
+                for part in np.array_split(group, -(-len(group) // (3 * leaf))):
+                    s = x[part] @ x[part].T
+                    np.fill_diagonal(s, -np.inf)
+                    k = min(self.near, len(part) - 1)
+                    if k > 0:
+                        best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                        ids[part], scores[part] = best_of(np.concatenate([ids[part], part[best].astype(np.int32)], axis=1), np.concatenate([scores[part], np.take_along_axis(s, best, 1)], axis=1), self.near)
+        while True:
+            around, changed = self._adjacency(ids), 0
+            fresh = ids.copy()
+            for a in range(0, n, 256):
+                mine = around[a : a + 256]
+                beyond = np.where(mine[:, :, None] < 0, -1, around[mine]).reshape(len(mine), -1)
+                beyond = np.sort(beyond, axis=1)
+                beyond[:, 1:][beyond[:, 1:] == beyond[:, :-1]] = -1
+                beyond[beyond == np.arange(a, a + len(mine))[:, None]] = -1
+                s = (x[beyond] @ x[a : a + 256, :, None])[:, :, 0]
+                both = np.concatenate([ids[a : a + 256], beyond], axis=1)
+                fresh[a : a + 256], scores[a : a + 256] = best_of(both, np.concatenate([scores[a : a + 256], s], axis=1), self.near)
+                old, new = np.sort(ids[a : a + 256], axis=1), fresh[a : a + 256]
+                changed += int((new >= 0).sum()) - sum(len(np.intersect1d(o[o >= 0], w)) for o, w in zip(old, new, strict=True))
+            ids = fresh
+            if changed <= DELTA * n * self.near:
+                return self._adjacency(ids)
+
+    def _adjacency(self, ids: np.ndarray) -> np.ndarray:
+        n = len(ids)
+        node, other = np.repeat(np.arange(n, dtype=np.int32), ids.shape[1]), ids.ravel()
+        node, other = node[other >= 0], other[other >= 0]
+        order = np.lexsort((np.random.default_rng(n).random(len(other)), other))
+        node, other = node[order], other[order]
+        at = np.arange(len(other)) - np.searchsorted(other, other)
+        held = at < self.back
+        reverse = np.full((n, self.back), -1, np.int32)
+        reverse[other[held], at[held]] = node[held]
+        return np.concatenate([ids, reverse], axis=1)
+
+    def search(self, q: np.ndarray, keep: int, width: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the ``keep`` best of the shard found for each query, best first, -1 where it has fewer."""
+        parts = [self._search(q[a : a + BATCH], keep, width, max(beam, keep)) for a in range(0, len(q), BATCH)]
+        return np.concatenate([i for i, _ in parts]), np.concatenate([s for _, s in parts])
+
+    def _search(self, q: np.ndarray, keep: int, width: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        m, n = len(q), len(self.x)
+        seen, expanded = np.zeros((m, n), bool), np.zeros((m, n), bool)
+        ids, scores = np.full((m, beam), -1, np.int32), np.full((m, beam), -np.inf, np.float32)
+        wanted = np.zeros((m, n), bool)
+        for t, order in enumerate(self.members):
+            mine = leaves(q, t, self.ways, self.levels)
+            known = self.leaf[t][order]
+            for k, (low, high) in enumerate(zip(np.searchsorted(known, mine), np.searchsorted(known, mine, "right"), strict=True)):
+                wanted[k, order[low:high]] = True
+        if n:
+            wanted[:, 0] = True
+        while True:
+            wanted &= ~seen
+            seen |= wanted
+            row, node = np.nonzero(wanted)
+            s = np.einsum("ij,ij->i", self.x[node], q[row])
+            n_new = np.bincount(row, minlength=m)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(n_new) - n_new, n_new)
+            new_ids, new_scores = np.full((m, max(n_new.max(), 1)), -1, np.int32), np.full((m, max(n_new.max(), 1)), -np.inf, np.float32)
+            new_ids[row, at], new_scores[row, at] = node, s
+            all_ids, all_scores = np.concatenate([ids, new_ids], axis=1), np.concatenate([scores, new_scores], axis=1)
+            part = np.argpartition(-all_scores, beam - 1, axis=1)[:, :beam]
+            ids, scores = np.take_along_axis(all_ids, part, 1), np.take_along_axis(all_scores, part, 1)
+            order = np.argsort(-scores, axis=1, kind="stable")
+            ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+            open_ = (ids >= 0) & ~np.take_along_axis(expanded, np.maximum(ids, 0), 1)
+            row, place = np.nonzero(open_ & (np.cumsum(open_, axis=1) <= width))
+            if not len(row):
+                break
+            expanded[row, ids[row, place]] = True
+            ahead = self.around[ids[row, place]]
+            wanted[:] = False
+            wanted[np.repeat(row, ahead.shape[1])[ahead.ravel() >= 0], ahead.ravel()[ahead.ravel() >= 0]] = True
+        short = np.flatnonzero((ids >= 0).sum(axis=1) < min(keep, n))  # what the graph doesn't reach
+        if len(short):
+            s = q[short] @ self.x.T
+            best = np.argsort(-s, axis=1, kind="stable")[:, :beam]
+            ids[short, : best.shape[1]], scores[short, : best.shape[1]] = best, np.take_along_axis(s, best, 1)
+        self.scored = seen.mean() if n else 0.0
+        return ids[:, :keep], scores[:, :keep]
+
+
+def descend(near: int, back: int, trees: int, leaf: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """One row for a shard: its nodes, their vectors and their adjacency, packed."""
+
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        x = rows_of(pdf["g"], np.float16)
+        graph = Graph(x.astype(np.float32), near, back, trees, leaf)
+        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "nodes": [pdf["node"].to_numpy().astype("<i8").tobytes()], "g": [x.tobytes()], "around": [graph.around.astype("<i4").tobytes()]})
 
-    def __init__(self, trees: int, ways: int, levels: int):
-        self.trees, self.ways, self.levels = trees, ways, levels
+    return of
 
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = rows_of(batch.column("g"), np.float16).astype(np.float32)
-                for t in range(self.trees):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(leaves(x, t, self.ways, self.levels)), batch.column("node"), batch.column("g")], schema=self.schema)
 
+class Search:
+    """``node, ids, scores``: the best of a shard for each query of a part, the query's own node left out."""
 
-def within(near: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The nearest of each node within a leaf."""
+    schema = pa.schema([("node", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float32()))])
 
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, node = rows_of(pdf["g"], np.float16).astype(np.float32), pdf["node"].to_numpy()
-        s = x @ x.T
-        np.fill_diagonal(s, -np.inf)
-        k = min(near, len(x) - 1)
-        best = np.argpartition(-s, k - 1, axis=1)[:, :k] if k > 0 else np.empty((len(x), 0), int)
-        return pd.DataFrame({"node": node, "ids": list(node[best]), "scores": list(np.take_along_axis(s, best, 1).astype(np.float32))})
+    def __init__(self, near: int, back: int, trees: int, leaf: int, keep: int, width: int, beam: int):
+        self.how, self.keep, self.width, self.beam = (near, back, trees, leaf), keep, width, beam
 
-    return nearest
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                nodes = np.frombuffer(batch.column("nodes")[r].as_py(), "<i8")
+                x = np.frombuffer(batch.column("g")[r].as_py(), np.float16).reshape(len(nodes), -1).astype(np.float32)
+                graph = Graph(x, *self.how, around=np.frombuffer(batch.column("around")[r].as_py(), "<i4").reshape(len(nodes), -1))
+                asked = batch.column("asked")[r].as_py()
+                own = np.array([a["node"] for a in asked], np.int64)
+                q = np.frombuffer(b"".join(a["q"] for a in asked), np.float16).reshape(len(own), -1).astype(np.float32)
+                for a in range(0, len(own), 1024):
+                    ids, scores = graph.search(q[a : a + 1024], self.keep + 1, self.width, self.beam)
+                    found = np.where(ids < 0, -1, nodes[ids])
+                    held = (ids >= 0) & (found != own[a : a + 1024, None])
+                    ends = np.concatenate([[0], np.cumsum(held.sum(axis=1))]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[a : a + 1024]), pa.ListArray.from_arrays(ends, pa.array(found[held])), pa.ListArray.from_arrays(ends, pa.array(scores[held].astype(np.float32)))], schema=self.schema)
 
 
 class Merge:
@@ -123,50 +251,6 @@ def merged(lists: DataFrame, near: int) -> DataFrame:
     return one.mapInArrow(Merge(near), "node long, ids array<long>, scores array<float>")
 
 
-def score(keep: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """Scores of a block's nodes for the requests that name them; the best ``keep`` of each request."""
-
-    def of(requests: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        if not len(requests) or not len(vectors):
-            return pd.DataFrame({"node": pd.Series(dtype="int64"), "ids": [], "scores": []})
-        order = vectors["node"].to_numpy().argsort()
-        known = vectors["node"].to_numpy()[order]
-        x = rows_of(vectors["g"], np.float16)[order].astype(np.float32)
-        ids, scores = [], []
-        for g, wanted in zip(requests["q"], requests["wanted"], strict=True):
-            s = x[np.searchsorted(known, wanted)] @ np.frombuffer(g, dtype=np.float16).astype(np.float32)
-            if len(s) > keep:
-                best = np.argpartition(-s, keep - 1)[:keep]
-                wanted, s = wanted[best], s[best]
-            ids.append(wanted)
-            scores.append(s)
-        return pd.DataFrame({"node": requests["node"], "ids": ids, "scores": scores})
-
-    return of
-
-
-def scored(requests: DataFrame, nodes: DataFrame, blocks: int, keep: int) -> DataFrame:
-    """``node, ids, scores`` (several rows for each node) for requests ``node, q, wanted``: wanted are distinct nodes."""
-    each = requests.select("node", "q", F.explode("wanted").alias("w")).groupBy("node", block_of("w", blocks).alias("block")).agg(F.collect_list("w").alias("wanted"), F.first("q").alias("q"))
-    asked = spool(each, "requests")
-    parts = F.ceil(F.col("n") / REQUESTS).cast("int")
-    busy = asked.groupBy("block").agg(F.count("*").alias("n")).select("block", parts.alias("parts"))
-    dealt = asked.join(busy, "block").select("block", "node", "q", "wanted", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
-    places = busy.select(F.col("block").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
-    copies = nodes.select(block_of("node", blocks).alias("at"), F.col("node").alias("node"), "g").join(places, "at").select(F.col("at").alias("block"), F.col("part").alias("part"), "node", "g")
-    return dealt.groupBy("block", "part").cogroup(copies.groupBy("block", "part")).applyInPandas(score(keep), "node long, ids array<long>, scores array<float>")
-
-
-def adjacency(graph: DataFrame, back: int) -> DataFrame:
-    """``node, near``: neighbours of each node and about ``back`` of those that have it as theirs."""
-    edges = graph.select(F.explode("ids").alias("node"), F.col("node").alias("other"))
-    degree = edges.groupBy("node").agg(F.count("*").alias("n"))
-    thinned = edges.join(degree, "node").where(F.pmod(F.xxhash64("node", "other"), F.col("n")) < back)
-    reverse = thinned.groupBy("node").agg(F.collect_list("other").alias("others"))
-    both = graph.select("node", "ids").join(reverse, "node", "left")
-    return both.select("node", F.array_distinct(F.concat("ids", F.coalesce("others", F.array().cast("array<long>")))).alias("near"))
-
-
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``vec_id, v``: the vectors that take part, as arrays of doubles."""
     v = vectors[vector_col].cast("array<double>")
@@ -191,7 +275,7 @@ class Units:
 class Index:
     """A graph over the distinct usable vectors of a table."""
 
-    def __init__(self, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", near: int = NEAR, back: int = BACK, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS):
+    def __init__(self, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", near: int = NEAR, back: int = BACK, trees: int = TREES, leaf: int = LEAF, shard: int = SHARD):
         held = spool(usable(vectors, id_col, vector_col), "vectors")
         sizes = held.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
         self.dimension = sizes[0]["d"] if sizes else 0
@@ -207,66 +291,25 @@ class Index:
         self.n = stats["n"]
         largest = math.sqrt(stats["m"] or 1.0)
         self.largest = largest
-        self.blocks = max(1, -(-self.n // BLOCK))
-        self.nodes = spool(self.vectors.mapInArrow(Units(largest), "node long, g binary"), "units")
-        self.graph = spool(self._start(near, trees, leaf), "graph")
-        for _ in range(rounds):
-            self.graph = spool(self._round(near, back), "graph")
-        self.near = spool(adjacency(self.graph, back), "adjacency")
-
-    def _start(self, near: int, trees: int, leaf: int) -> DataFrame:
-        split = max(1.0, self.n / leaf)
-        levels = max(1, math.ceil(math.log(split, 64) - 1e-9)) if split > 1 else 1
-        ways = max(2, math.ceil(split ** (1 / levels)))
-        keyed = self.nodes.mapInArrow(Leaf(trees, ways, levels), "tree int, leaf long, node long, g binary")
-        full = self.nodes.mapInArrow(Leaf(trees, ways, levels), "tree int, leaf long, node long, g binary").groupBy("tree", "leaf").agg(F.count("*").alias("n"))
-        parts = F.ceil(F.col("n") / (3 * leaf)).cast("int")
-        dealt = keyed.join(full.select("tree", "leaf", parts.alias("parts")), ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
-        lists = dealt.groupBy("tree", "leaf", "part").applyInPandas(within(near), "node long, ids array<long>, scores array<float>")
-        return merged(lists, near)
-
-    def _round(self, near: int, back: int) -> DataFrame:
-        """Neighbours meet neighbours of neighbours."""
-        around = spool(adjacency(self.graph, back), "adjacency")
-        over = around.select("node", F.explode("near").alias("via")).join(around.select(F.col("node").alias("via"), F.col("near").alias("beyond")), "via")
-        wanted = over.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("beyond"))).alias("all"))
-        fresh = wanted.join(self.graph.select("node", "ids"), "node").select("node", F.array_except(F.array_except("all", "ids"), F.array("node")).alias("wanted"))
-        requests = fresh.join(self.nodes, "node").select("node", F.col("g").alias("q"), "wanted")
-        return merged(scored(requests, self.nodes, self.blocks, near).unionByName(self.graph), near)
-
-    def search(self, is_query: Column, k: int = 20, width: int = WIDTH, steps: int = STEPS, beam: int = BEAM) -> DataFrame:
+        self.how = (near, back, trees, leaf)
+        self.shards = max(1, -(-self.n // shard))
+        units = self.vectors.mapInArrow(Units(largest), "node long, g binary").withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(self.shards)).cast("int"))
+        self.graphs = spool(units.groupBy("shard").applyInPandas(descend(*self.how), "shard int, nodes binary, g binary, around binary"), "graphs")
+
+    def search(self, is_query: Column, k: int = 20, width: int = WIDTH, beam: int = BEAM) -> DataFrame:
         """``query_id, rank, vec_id, score`` of the k nearest of each row of which ``is_query`` (over vec_id) holds."""
         queries = spool(self.members.where(is_query).select(F.col("vec_id").alias("query_id"), "node"), "queries")
         start = queries.select("node").distinct().join(self.vectors, "node")  # equal queries are searched once
         d = self.dimension
         norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
         asked = spool(start.select("node", F.transform("v", lambda x: x / norm).alias("v")).mapInArrow(QueryUnits(d), "node long, q binary"), "asked")
-        state = spool(asked.join(self.near, "node").select("node", F.col("near").alias("wanted")), "frontier")
-        found = None
-        for _ in range(steps):
-            requests = state.join(asked, "node").select("node", "q", "wanted")
-            lists = scored(requests, self.nodes, self.blocks, beam)
-            if found is not None:
-                lists = lists.unionByName(found.select("node", "ids", "scores"))
-            best = merged(lists, beam)
-            done = found.select("node", "expanded") if found is not None else best.sparkSession.createDataFrame([], "node long, expanded array<long>")
-            held = best.join(done, "node", "left").withColumn("expanded", F.coalesce("expanded", F.array().cast("array<long>")))
-            held = held.withColumn("next", F.slice(F.array_except("ids", "expanded"), 1, width))
-            found = spool(held.select("node", "ids", "scores", F.concat("expanded", "next").alias("expanded"), "next"), "found")
-            ahead = found.select("node", F.explode("next").alias("via")).join(self.near.select(F.col("node").alias("via"), "near"), "via")
-            ahead = ahead.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("all"))
-            state = spool(ahead.join(found.select("node", "ids"), "node").select("node", F.array_except(F.array_except("all", "ids"), F.array("node")).alias("wanted")).where("size(wanted) > 0"), "frontier")
-            if state.isEmpty():
-                break
-        enough = min(k, self.n - 1)
-        reached = asked.select("node").join(found, "node", "left").select("node", F.coalesce("ids", F.array().cast("array<long>")).alias("ids"))
-        short = reached.where(F.size("ids") < enough).select("node")
-        reached = reached.where(F.size("ids") >= enough).select("node", F.slice("ids", 1, k + 12).alias("ids"))
-        # what the graph doesn't reach: these few queries against all nodes, block by block
-        blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.blocks - 1).cast("long"))).alias("block")
-        rest = asked.join(short, "node").select("node", "q", blocks).join(self.nodes.select(block_of("node", self.blocks).alias("block"), F.col("node").alias("w")).groupBy("block").agg(F.collect_list("w").alias("wanted")), "block")
-        swept = merged(scored(rest.select("node", "q", F.array_except("wanted", F.array("node")).alias("wanted")), self.nodes, self.blocks, k + 12), k + 12)
-        final = reached.unionByName(swept.select("node", "ids")).select("node", F.explode(F.concat("ids", F.array("node"))).alias("other"))
+        parts = max(1, -(-asked.count() // QUERIES))
+        packed = asked.groupBy(F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int").alias("part")).agg(F.collect_list(F.struct("node", "q")).alias("asked"))
+        # each shard meets each part of the queries; a row is a shard and a part, so that there are few
+        each = self.graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(packed, "part").repartition(max(self.shards * parts, 1), "shard", "part")
+        lists = each.select("nodes", "g", "around", "asked").mapInArrow(Search(*self.how, k + 12, width, beam), "node long, ids array<long>, scores array<float>")
+        reached = merged(lists, k + 12)
+        final = reached.select("node", F.explode(F.concat("ids", F.array("node"))).alias("other"))
         # copies: of equal vectors only the least ids can be among the nearest
         least = self.members.groupBy("node", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
         least = least.groupBy("node").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("vec_ids"))
