@@ -1,7 +1,8 @@
 """PII: format-preserving Feistel pseudonyms, in DataFrame functions only.
 
 A text is split once by a pattern of candidates. Each candidate is validated by its kind (check digits, ranges,
-calendar) and, if valid, permuted within its format by a keyed Feistel network; what is not valid stays as it is.
+calendar) and, if valid, permuted within its format by a keyed Feistel network; what is not valid stays as it is. Of a card or IBAN
+that is not valid with the groups around it, the longest valid run of groups (for an IBAN, from its start) is taken.
 The permutation depends only on the key, the kind and the value's own digits or letters, so equal values have equal
 pseudonyms in all documents, without a join or a table of values, and distinct values of a kind have distinct ones.
 (Of dates with slashes or dots, the day comes first unless the second number can only be one; a date is one value
@@ -33,16 +34,27 @@ KINDS = ("email", "iban", "phone", "ssn", "card", "ip", "date")
 ROUNDS = 8
 KEY = "palimpsest"
 
+#: Length of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBANS = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+
 #: Candidates by kind, in the order in which they are tried. Quantifiers are possessive or bounded.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:(?:{_IBANS})|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-][0-9]{2,5}){2,5}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9A-Za-z/-])",
 }
+# a card doesn't run on into what is a candidate of its own behind a space: a number with dots, slashes or dashes, or a card in fours
+_NEXT = "|".join([*(PATTERNS[k] for k in ("phone", "ssn", "ip", "date")), r"[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9A-Za-z])"])
+PATTERNS["card"] = rf"(?<![0-9A-Za-z])[0-9](?:(?! (?:{_NEXT}))[ -]?[0-9]){{12,18}}(?![0-9A-Za-z])"
 ANY = "|".join(PATTERNS.values())
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)  # 17 x 4297 days, to 2099-12-31
 
@@ -129,6 +141,38 @@ def _iban(m: Column, key: str) -> Column:
     return F.when(mod97(plain) == 1, _refilled(m, F.concat(country, check, body), "[A-Z0-9]")).otherwise(m)
 
 
+def _groups(m: Column, start: Column) -> Column:
+    """What starts with the group of number ``start`` (from 0) and ends with any group."""
+    parts = F.split(m, "[ -]")
+    before = F.when(start > 0, F.length(F.array_join(F.slice(parts, 1, start), " ")) + 1).otherwise(0)
+    piece = lambda j: F.length(F.array_join(F.slice(parts, start + 1, j - start), " "))
+    return F.transform(F.sequence(start + 1, F.size(parts)), lambda j: F.struct(piece(j).alias("n"), (-before).alias("at"), F.substring(m, before + 1, piece(j)).alias("s")))
+
+
+def _within(m: Column, runs: Column, valid, made) -> Column:
+    """The candidate with the longest valid one of its runs of groups, the first of several, replaced."""
+    run = F.array_max(F.filter(runs, valid))
+    # one element, so that the run is found once
+    return F.coalesce(F.get(F.transform(F.array(run), lambda r: F.when(r.isNotNull(), F.concat(F.substring(m, F.lit(1), -r["at"]), made(r["s"]), F.substring(m, r["n"] - r["at"] + 1, F.length(m))))), F.lit(0)), m)
+
+
+def _iban_or_prefix(m: Column, key: str) -> Column:
+    """A word or number behind an IBAN may look like a further group of it."""
+    plain = lambda r: F.regexp_replace(r["s"], " ", "")
+    prefix = _within(m, _groups(m, F.lit(0)), lambda r: (F.length(plain(r)) >= 15) & (mod97(plain(r)) == 1), lambda s: _iban(s, key))
+    return F.when((mod97(F.regexp_replace(m, " ", "")) != 1) & m.contains(" "), prefix).otherwise(_iban(m, key))
+
+
+def _card_or_part(m: Column, key: str) -> Column:
+    """Groups of digits before or behind a card (an expiry, a code) may look like groups of it. A run of groups within
+    the candidate counts if its groups have three digits in the mean: single digits in a row are a table, not a card."""
+    runs = F.flatten(F.transform(F.sequence(F.lit(0), F.size(F.split(m, "[ -]")) - 1), lambda i: _groups(m, i)))
+    digits = lambda r: F.length(_digits(r["s"]))
+    valid = lambda r: (digits(r) >= 13) & (digits(r) >= 3 * F.size(F.split(r["s"], "[ -]"))) & (luhn_sum(_digits(r["s"])) % 10 == 0)
+    part = _within(m, runs, valid, lambda s: _card(s, key))
+    return F.when((luhn_sum(_digits(m)) % 10 != 0) & m.rlike("[ -]"), part).otherwise(_card(m, key))
+
+
 def _phone(m: Column, key: str) -> Column:
     country = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
     rest = F.substring(m, F.length(country) + 1, F.length(m))
@@ -181,7 +225,7 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     """The candidate's pseudonym, or the candidate itself where it isn't valid."""
     kind = kind_of(m)
     ssn = _refilled(m, permuted(_digits(m), key, "ssn"), "[0-9]")
-    made = {"email": _email(m, key), "iban": _iban(m, key), "phone": _phone(m, key), "ssn": ssn, "card": _card(m, key), "ip": _ip(m, key), "date": _date(m, key)}
+    made = {"email": _email(m, key), "iban": _iban_or_prefix(m, key), "phone": _phone(m, key), "ssn": ssn, "card": _card_or_part(m, key), "ip": _ip(m, key), "date": _date(m, key)}
     out = F
     for k in KINDS:
         out = out.when(kind == k, made[k])
