@@ -6,6 +6,9 @@ windowed short-time Fourier transform; the strongest bin of each of a few bands
 and each peak is paired with the peaks of the same band and the next one in the following frames. A pair
 (f1, f2, dt) is a code, stored beside the time of its anchor.
 
+With ``hop`` less than a frame, frames overlap, times count hops, and a passage keeps most of its codes wherever it
+stands; op2_media takes ``HOP`` and ``TARGETS``. The defaults, one frame after another, find copies at the same phase only.
+
 Defined results: a null text counts as empty, whose payload is 192 spaces; a payload of one frame has no
 pairs; equal texts have equal columns; a null id stays null; further columns are dropped.
 """
@@ -28,6 +31,8 @@ FRAME = 192
 BANDS = (1, 9, 25, 97)
 #: Frames after the anchor's that are paired with it.
 REACH = 1
+#: Samples from frame to frame, and frames paired, of fingerprints that a shift by any number of samples leaves alike.
+HOP, TARGETS = 24, 3
 #: Frames transformed at once.
 BLOCK = 4_096
 
@@ -49,9 +54,9 @@ def from_wav(data: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
-def peaks(samples: np.ndarray) -> np.ndarray:
+def peaks(samples: np.ndarray, hop: int = FRAME) -> np.ndarray:
     """Strongest bin in each band of each whole frame: frames x bands. Ties go to the lower bin."""
-    frames = samples[: len(samples) // FRAME * FRAME].reshape(-1, FRAME)
+    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::hop] if len(samples) >= FRAME else np.empty((0, FRAME), samples.dtype)
     window = np.hanning(FRAME)
     out = np.empty((len(frames), len(BANDS) - 1), dtype=np.int32)
     for a in range(0, len(frames), BLOCK):
@@ -64,11 +69,11 @@ def peaks(samples: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def fingerprint(samples: np.ndarray, hop: int = FRAME, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
     """Times (frame of the anchor) and codes (f1, f2, dt) of the peak pairs, by time, distance and band."""
-    top = peaks(samples)
+    top = peaks(samples, hop)
     found = []
-    for dt in range(1, REACH + 1):
+    for dt in range(1, reach + 1):
         later = np.full_like(top, -1)  # -1: no frame so far on
         later[:-dt] = top[dt:]
         for b in range(top.shape[1]):
@@ -83,6 +88,9 @@ def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Media:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("wav", pa.binary()), ("payload", pa.binary()), ("fp_time", pa.binary()), ("fp_code", pa.binary())])
 
+    def __init__(self, hop: int = FRAME, reach: int = REACH):
+        self.hop, self.reach = hop, reach
+
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(self.schema)
         for batch in batches:
@@ -90,15 +98,15 @@ class Media:
                 raw = text.as_py()
                 wav = to_wav(raw + b" " * (-len(raw) % UNIT if raw else UNIT))
                 payload = from_wav(wav)
-                t, c = fingerprint(np.frombuffer(payload, dtype=np.uint8))
+                t, c = fingerprint(np.frombuffer(payload, dtype=np.uint8), self.hop, self.reach)
                 yield from rows.add((doc_id, len(raw), wav, payload, t.astype("<i4").tobytes(), c.astype("<i4").tobytes()), 3 * len(wav) + 8 * len(t))
         yield from rows.flush()
 
 
-def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hop: int = FRAME, reach: int = REACH) -> DataFrame:
     """``doc_id, n_bytes, wav, payload, fp_time, fp_code``. ``wav`` is the stored file, ``payload`` its samples as
     read back; the fingerprint arrays are packed as little-endian 32-bit integers (see :func:`unpack`)."""
-    return id_and_text(docs, id_col, text_col).mapInArrow(Media(), "doc_id long, n_bytes long, wav binary, payload binary, fp_time binary, fp_code binary")
+    return id_and_text(docs, id_col, text_col).mapInArrow(Media(hop, reach), "doc_id long, n_bytes long, wav binary, payload binary, fp_time binary, fp_code binary")
 
 
 def unpack(packed: bytes) -> list[int]:

@@ -29,7 +29,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = media.media(table(spark, sf_dir, "documents"))
+    m = media.media(table(spark, sf_dir, "documents"), hop=media.HOP, reach=media.TARGETS)
     payload = F.col("payload")
     n = F.length(payload).cast("long")
     return m.select(

@@ -38,6 +38,30 @@ def test_peaks_by_brute_force():
         assert row.tolist() == [low + int(np.argmax(np.rint(power[low:high]))) for low, high in zip(media.BANDS, media.BANDS[1:], strict=False)]
 
 
+def test_op2_matches_a_shifted_passage(spark, small, tmp_path):
+    """The query's fingerprints of a passage set at another phase: time-aligned codes stay."""
+    from palimpsest.llm import queries
+
+    texts = [t for (t,) in small.where("length(text) >= 4500").select("text").limit(12).collect()]
+    docs = [(k, (t[:1920] if at is None else u[:at] + t[:1920] + u[at : at + 400])) for k, (t, u, at) in enumerate((t, u, at) for t, u in zip(texts, texts[1:], strict=False) for at in (None, 1000 - 1000 % 24 + 11))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, made = [], media.media
+    try:
+        media.media = lambda *a, **k: seen.append(made(*a, **k)) or seen[-1]
+        queries.op2_media(spark, str(tmp_path))
+    finally:
+        media.media = made
+    rows = {r["doc_id"]: list(zip(media.unpack(r["fp_time"]), media.unpack(r["fp_code"]), strict=True)) for r in seen[0].collect()}
+    kept = []
+    for k in range(0, len(docs), 2):
+        by = {}
+        for t, c in rows[k + 1]:
+            by.setdefault(c, []).append(t)
+        shifts = Counter(b - a for a, c in set(rows[k]) for b in by.get(c, ()))
+        kept.append(shifts.most_common(1)[0][1] / len(rows[k]))
+    assert np.mean(kept) > 0.4
+
+
 def brute_hash(key, kind, i, *parts):
     return int(hashlib.sha256("|".join([key, kind, str(i), *parts]).encode()).hexdigest()[:13], 16)
 
