@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +78,34 @@ class Rows:
         if self.columns[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(self.columns, self.schema, strict=True)], schema=self.schema)
         self._clear()
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], least: int) -> Iterator[pa.RecordBatch]:
+    """Batches of ``least`` rows or more that no group of rows with equal keys crosses. Rows come sorted by the keys;
+    the caller's groups are bounded."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < least:
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=1 << 30)[0]
+        last = group_starts(whole, keys)[-1]
+        held, rows = [whole.slice(last)], whole.num_rows - last
+        if last:
+            yield whole.slice(0, last)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=1 << 30)[0]
+
+
+def group_starts(batch: pa.RecordBatch, keys: tuple[str, ...]) -> np.ndarray:
+    """Places at which a group begins."""
+    turn = np.zeros(batch.num_rows, bool)
+    turn[:1] = True
+    for k in keys:
+        x = batch.column(k).to_numpy()
+        turn[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(turn)
