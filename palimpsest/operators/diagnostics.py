@@ -12,20 +12,17 @@ from pyspark.sql import functions as F
 
 
 def divergence(a: Column, b: Column) -> Column:
-    """Place of the first byte in which two strings differ, from 0; null if they are equal."""
-    ha, hb = F.hex(a), F.hex(b)
-    n = F.least(F.length(ha), F.length(hb)) / 2
-    at = F.aggregate(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(n / 256).cast("int"))),
-        F.lit(None).cast("int"),
-        lambda found, k: F.when(found.isNotNull(), found).when(F.substring(ha, k * 512 + 1, F.lit(512)) != F.substring(hb, k * 512 + 1, F.lit(512)), k),
-    )
-    within = F.aggregate(
-        F.sequence(F.lit(0), F.lit(255)),
-        F.lit(None).cast("int"),
-        lambda found, k: F.when(found.isNotNull(), found).when(F.substring(ha, at * 512 + k * 2 + 1, F.lit(2)) != F.substring(hb, at * 512 + k * 2 + 1, F.lit(2)), k),
-    )
-    return F.when(at.isNotNull(), at * 256 + F.coalesce(within, F.lit(0)))
+    """Place of the first byte in which two strings differ, from 0; null if they are equal. The common prefix grows by
+    halved steps, so every byte is compared once or twice."""
+
+    def place(s: Column) -> Column:
+        n = F.least(F.length(s["a"]), F.length(s["b"]))
+        steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+        grown = lambda at, step: (at + step <= n) & (s["a"].substr(at + 1, step) == s["b"].substr(at + 1, step))
+        prefix = F.aggregate(steps, F.lit(0), lambda at, step: F.when(grown(at, step), at + step).otherwise(at))
+        return F.when(s["a"] != s["b"], prefix)
+
+    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), place)[0]
 
 
 def roundtrip_census(pairs: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-NAME = r"^\.([A-Za-z]{1,3})\s*(.*)$"
+#: Fixed: the format's grammar of a command and of its number.
+NAME = r"(?s)^\.([LFEPlfep]#|[A-Za-z]{1,3})\s*(.*)$"
 NUMBER = r"^\s*([0-9]*\.?[0-9]+)\s*(\"|[A-Za-z]{1,2})?"
 #: Fixed: defaults of the page, in each command's own unit.
 DEFAULTS = {"pl": 66.0, "mt": 3.0, "mb": 8.0, "po": 8.0, "hm": 2.0, "fm": 2.0, "lh": 8.0, "ls": 1.0, "cw": 12.0, "pn": 1.0, "pc": 28.0}
@@ -48,7 +49,9 @@ def first_wins(lines: DataFrame) -> DataFrame:
     """``doc_id`` and one column for each page command: the first value that means something."""
     held = lines.select("doc_id", "pos", command(F.col("line")).alias("cmd"), argument(F.col("line")).alias("arg")).where(F.col("cmd").isin(*DEFAULTS))
     valued = held.withColumn("value", resolved(F.col("cmd"), F.col("arg"))).where("value is not null")
-    return valued.groupBy("doc_id").agg(*[F.min_by(F.when(F.col("cmd") == c, F.col("value")), F.when(F.col("cmd") == c, F.col("pos"))).alias(c) for c in DEFAULTS])
+    # one value of each command first, so that the argument is read in one place; then one column for each command
+    first = valued.groupBy("doc_id", "cmd").agg(F.min_by("value", "pos").alias("value"))
+    return first.groupBy("doc_id").agg(*[F.max(F.when(F.col("cmd") == c, F.col("value"))).alias(c) for c in DEFAULTS])
 
 
 def text_lines(pl: Column, mt: Column, mb: Column, lh: Column) -> Column:
@@ -79,10 +82,11 @@ def switch(name: str) -> Column:
 
 
 def in_force(lines: DataFrame, names: tuple[str, ...] = ("oc", "oj", "aw")) -> DataFrame:
-    """``doc_id, pos, line`` of text lines with the last setting of each command up to there."""
+    """``doc_id, pos, line`` of text lines with the last setting of each command up to there. A line that begins with a
+    full stop is a command, whatever follows."""
     order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     held = lines.select("doc_id", "pos", "line", *[F.last(switch(n), ignorenulls=True).over(order).alias(n) for n in names])
-    return held.where(command(F.col("line")).isNull())
+    return held.where(~F.col("line").startswith("."))
 
 
 def alignment(oc: Column, oj: Column) -> Column:

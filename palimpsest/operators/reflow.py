@@ -57,15 +57,22 @@ def paragraph_units(lines: DataFrame, least: int = 5) -> DataFrame:
     return held.groupBy("doc_id", "unit_ix").agg(F.min("pos").alias("line_from"), F.max("pos").alias("line_to"), F.count("*").alias("n_lines"))
 
 
-SLUGLINE = r"^\s*(INT|EXT|EST|INT\./EXT|I/E)[. ]"
+#: Fixed: a scene's heading line, and the blocks that a scene reaches over.
+SLUGLINE = r"^[ \t]*\d{0,4}[ \t]*(?:&[^&\r\n]{1,24}&[ \t]*)?(?:INT\.|EXT\.|INT\.?/EXT\.|I/E\.)[ \t]"
+SCENE = 40
 
 
-def screenplay_regions(lines: DataFrame, cap: int = 40) -> DataFrame:
-    """``doc_id, start, stop``: from each slugline to the line before the next one, or ``cap`` lines on."""
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    last = lines.groupBy("doc_id").agg(F.max("pos").alias("last"))
-    slugs = lines.where(F.col("line").rlike(SLUGLINE)).select("doc_id", F.col("pos").alias("start"), F.lead("pos").over(order).alias("next"))
-    return slugs.join(last, "doc_id").select("doc_id", "start", F.least(F.coalesce(F.col("next") - 1, F.col("last")), F.col("start") + cap, F.col("last")).alias("stop"))
+def screenplay_blocks(blocks: DataFrame) -> DataFrame:
+    """``doc_id, block_ix, in_scene`` of ``doc_id, block_ix, text, heading, kind``, text being a block's lines. A scene
+    begins at a block with a slugline and ends before the next one, at a heading or a break, or ``SCENE`` blocks on."""
+    order = Window.partitionBy("doc_id").orderBy("block_ix").rowsBetween(Window.unboundedPreceding, 0)
+    para = F.col("kind") == "para"
+    slug = para & F.col("text").rlike("(?m)" + SLUGLINE)
+    start = F.max(F.when(slug, F.col("block_ix"))).over(order)
+    stop = F.max(F.when(~slug & (~para | F.col("heading").isNotNull()), F.col("block_ix"))).over(order)
+    held = blocks.select("doc_id", "block_ix", start.alias("start"), stop.alias("stop"))
+    inside = F.col("start").isNotNull() & (F.col("block_ix") - F.col("start") <= SCENE) & (F.col("stop").isNull() | (F.col("stop") < F.col("start")))
+    return held.select("doc_id", "block_ix", F.coalesce(inside, F.lit(False)).alias("in_scene"))
 
 
 def bullets(lines: DataFrame) -> DataFrame:
@@ -98,7 +105,7 @@ def roman(n: Column) -> Column:
     """Lower-case roman numeral of a positive number; other numbers as they are."""
     pairs = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(s).alias("s")) for v, s in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i"))])
     start = F.struct(n.cast("int").alias("rest"), F.lit("").alias("out"))
-    done = F.aggregate(pairs, start, lambda a, p: F.struct((a["rest"] % p["v"]).cast("int").alias("rest"), F.concat(a["out"], F.expr("repeat('', 0)"), F.repeat(p["s"], F.floor(a["rest"] / p["v"]).cast("int"))).alias("out")), lambda a: a["out"])
+    done = F.aggregate(pairs, start, lambda a, p: F.struct((a["rest"] % p["v"]).cast("int").alias("rest"), F.concat(a["out"], F.repeat(p["s"], F.floor(a["rest"] / p["v"]).cast("int"))).alias("out")), lambda a: a["out"])
     return F.when(n > 0, done).otherwise(n.cast("string"))
 
 
@@ -124,7 +131,7 @@ def aligned(line: Column, align: Column, right: int = 65, left: int = 0) -> Colu
     """The line padded for centre or right alignment in a measure of right + left + 1 columns."""
     stripped = F.trim(line)
     pad = F.greatest(F.lit(0), F.lit(right + left + 1) - F.length(stripped))
-    return F.when(align == "center", F.concat(F.expr("repeat(' ', 1)").substr(1, 0), F.repeat(F.lit(" "), F.floor(pad / 2).cast("int")), stripped)).when(align == "right", F.concat(F.repeat(F.lit(" "), pad), stripped)).otherwise(line)
+    return F.when(align == "center", F.concat(F.repeat(F.lit(" "), F.floor(pad / 2).cast("int")), stripped)).when(align == "right", F.concat(F.repeat(F.lit(" "), pad), stripped)).otherwise(line)
 
 
 def paginate(lines: DataFrame, capacity: int = 55, width: int = 65) -> DataFrame:

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from .dots import DEFAULTS
 
 #: Fixed: presets, page sizes in lines, and the fields of a settings block (offset, units of an inch in the block, of ours).
-PRESETS = {"default": {}, "sawyer": {"mt": 1195 / 240, "mb": 6.0, "po": 7.0}, "modern": {"mt": 6.0, "mb": 6.0, "po": 10.0}}
-SIZES = {"letter": 66.0, "legal": 84.0, "a4": 70.158}
+PRESETS = {"default": {}, "sawyer": {"mt": 1195 / 1440 * 6, "mb": 6.0, "po": 7.0}, "modern": {"mt": 6.0, "mb": 6.0, "po": 10.0}}
+SIZES = {"letter": 66.0, "legal": 84.0, "a4": 11.693 * 6}
 FIELDS = {"mt": (0x14, 1440, 6), "mb": (0x16, 1440, 6), "pl": (0x18, 1440, 6), "hm": (0x1F, 1440, 6), "fm": (0x21, 1440, 6), "po": (0x24, 1800, 10), "lh": (0x40, 1440, 48)}
 RULER_SIZE, RULER_COUNT, RULER_STOPS, MOST_STOPS = 74, 8, 10, 25
 #: Options a conversion takes, with what each may be.
-OPTIONS = {"mode": ("modern", "printed"), "note_refs": ("word", "prefixed"), "fonts": ("office", "mac", "web"), "pictures": ("off", "link", "embed")}
+OPTIONS = {"mode": ("modern", "printed"), "note_refs": ("word", "prefixed"), "fonts": ("office", "mac", "web"), "variant": (None, "ws3", "ws4", "ws5+", "printstream", "text")}
 
 
 def page_settings(said: str) -> dict[str, float]:
@@ -58,10 +58,11 @@ def effective(name: str, machine: dict[str, float]) -> tuple[Column, Column]:
     return F.coalesce(own, F.lit(DEFAULTS[name])), F.when(own.isNotNull(), "file").otherwise("default")
 
 
-def checked_options(options: dict[str, str]) -> dict[str, str]:
-    """The options, if each is one of what it may be; formats follow the mode where none is named."""
+def checked_options(options: dict, drop: tuple[str, ...] = ()) -> dict:
+    """The options, if each is one of what it may be, without those to be dropped; formats follow the mode where none is named."""
     for key, value in options.items():
         if key in OPTIONS and value not in OPTIONS[key]:
             raise ValueError(f"{key}: {value!r} is not one of {', '.join(OPTIONS[key])}")
     mode = options.get("mode", "modern")
-    return {"mode": mode, "to": "pdf" if mode == "printed" else "rtf"} | options
+    made = {"mode": mode, "to": "pdf" if mode == "printed" else "rtf"} | options
+    return {k: v for k, v in made.items() if k not in (*drop, *(["to"] if "to" not in options and drop else []))}

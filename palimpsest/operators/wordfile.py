@@ -11,7 +11,9 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .codec import glyph
@@ -27,8 +29,12 @@ FLAGGED = {0x82: 0x02, 0x8C: 0x0C, 0x94: 0x14}
 #: Fixed: bits of a style record's attribute word.
 ATTRIBUTES = {1: "strike", 2: "b", 8: "u", 16: "sub", 32: "sup", 64: "b", 128: "i"}
 
+#: Runs of bytes that are text as they are: where bit 7 marks word ends, and where it doesn't.
+_plain_flagged = re.compile(rb"[\x20-\x7e\xa0-\xfe\t\x89]+")
+_plain = re.compile(rb"[\x20-\x7e\t\x80\x81\x83-\x89\x8b\x8e-\x93\x95-\x9f\xa1-\xff]+")
+_without_flag = bytes(b & 0x7F for b in range(256))
 _return = re.compile(rb"[\x8d\x0d][\x8a\x0a]|[\x8d\x8a\x0d\x0a]")
-_dot = re.compile(r"^\.([A-Za-z]{1,3})\s*(.*)$", re.S)
+_dot = re.compile(r"^\.([LFEPlfep]#|[A-Za-z]{1,3})\s*(.*)$", re.S)
 
 
 class ParseError(ValueError):
@@ -46,6 +52,8 @@ class Span:
     font: int | None = None
     colour: int | None = None
     ref: int | None = None  #: which note, from 0
+    width: int | None = None  #: of a print control's display string, in 1800ths of an inch
+    pix: int | None = None  #: which graphic, from 0
 
 
 @dataclass
@@ -56,12 +64,18 @@ class Line:
     sep: str = ""
     tab_indent: bool = False
     page: bool = False  #: a form feed stands before it
+    over: bool = False  #: the next line is printed over it
+    lead: float | None = None  #: line height in force, if it isn't the document's
 
     @property
     def text(self) -> str:
         """What is seen, without note marks."""
         return "".join(s.text for s in self.spans if s.ref is None)
 
+    @property
+    def soft(self) -> bool:
+        return self.sep in ("wrap", "blank-soft")
+
     @property
     def hard(self) -> bool:
         return self.brk[:1] in (b"\r", b"\n")
@@ -76,6 +90,7 @@ class Note:
     line_count: int = 0
     number_format: int = 0
     convert_to: int = 0
+    origin: str = "block"
 
 
 @dataclass
@@ -163,12 +178,22 @@ class Reader:
             self.line.spans.append(Span(self.held.decode(self.encoding, "replace"), tuple(sorted(self.styles)), self.font, self.colour))
             self.held.clear()
 
+    def show(self, text: str, width: int | None = None, pix: int | None = None) -> None:
+        self.flush()
+        self.line.spans.append(Span(text, tuple(sorted(self.styles)), self.font, self.colour, None, width, pix))
+
     def say(self, text: str) -> None:
         self.held += text.encode(self.encoding, "replace")
 
     def read(self) -> Document:
         data, at, start = self.data, 0, 0
+        run = _plain_flagged if self.flags else _plain
         while at < len(data):
+            m = run.match(data, at)
+            if m:
+                self.held += m[0].translate(_without_flag) if self.flags else m[0]
+                at = m.end()
+                continue
             b = data[at]
             if b == 0x1A:
                 break
@@ -204,8 +229,9 @@ class Reader:
             at += 1
         self.close(data[start:at], b"")
         self.doc.tail = data[at:]
-        self.doc.margin = margin(self.doc.lines)
-        separate(self.doc.lines, self.doc.margin, self.blocks)
+        texts = [x.text for x in self.doc.lines]
+        self.doc.margin = margin(self.doc.lines, texts)
+        separate(self.doc.lines, texts, self.doc.margin, self.blocks)
         return self.doc
 
     def close(self, raw: bytes, brk: bytes) -> None:
@@ -295,7 +321,7 @@ class Reader:
             self.say(f"[include: {name}]")
         elif shown.strip():
             self.doc.marks.append((len(self.doc.lines), "pctl", u16(content)))
-            self.say(shown)
+            self.show(shown, width=u16(content))
         else:
             self.other(content, at)
 
@@ -303,7 +329,7 @@ class Reader:
         path = visible(content)
         self.doc.marks.append((len(self.doc.lines), "pix", len(self.doc.graphics)))
         self.doc.graphics.append(path)
-        self.say(f"[image: {re.split(r'[/\\]', path)[-1] or path}]")
+        self.show(f"[image: {re.split(r'[/\\]', path)[-1] or path}]", pix=len(self.doc.graphics) - 1)
 
     def style(self, content: bytes, at: int) -> None:
         if len(content) == 8:
@@ -383,6 +409,9 @@ def style_library(data: bytes, base: int, encoding: str) -> list[dict]:
             if entry[24] == 2 and record > base and record + width <= len(data):
                 said = lambda o, none: None if i16(data, record + o) == none else i16(data, record + o)  # noqa: E731, B023
                 style |= {"left": said(10, -2), "right": said(12, -2), "para": said(14, -2), "line_height_vmi": said(88, -1)}
+                style["font"] = None if i16(data, record) == -1 else tuple(u16(data, record + 2 * k) for k in range(3))
+                style["wrap"] = {0: False, 255: None}.get(data[record + 87], True)
+                style["colour"] = None if data[record + 95] == 255 else data[record + 95]
                 bits = u16(data, record + 91)
                 style["align"] = JUSTIFIED.get(int.from_bytes(data[record + 86 : record + 87], "little", signed=True))
                 style["attrs"] = sorted({tag for bit, tag in ATTRIBUTES.items() if bits & bit})
@@ -401,67 +430,22 @@ def heading_level(name: str) -> int | None:
     return 1 if "title" in n else None
 
 
-@dataclass
-class Format:
-    """What holds where a line begins: from its style record if it has one, else from the dot commands."""
-
-    heading: int | None = None
-    align: str = "left"
-    style: str | None = None
-    attrs: tuple[str, ...] = ()
-
-    @property
-    def quote(self) -> bool:
-        return "quote" in (self.style or "").lower()
-
-
 JUSTIFIED = {0: "left", 1: "justify", -2: "center", -3: "right"}
 
 
-def formats(doc: Document) -> list[Format]:
-    """One for each line. A style stays in force until the next selection; handles of other pools change nothing."""
-    slots = {s["slot"]: s for s in doc.styles}
-    chosen: dict[int, int] = {}
-    for at, kind, handle in doc.marks:
-        if kind == "style" and handle >> 8 == 2:
-            chosen[at] = handle & 0xFF
-    style: dict | None = None
-    centre, justify = False, "left"
-    out = []
-    for pos, line in enumerate(doc.lines):
-        if pos in chosen:
-            style = slots.get(chosen[pos])
-        m = re.match(r"(?i)^\.(oc|oj)\s+(on|off|[cr])\b", line.text)
-        if m:
-            word = m[2].lower()
-            if m[1].lower() == "oc":
-                centre = word == "on"
-            else:
-                justify = {"on": "justify", "off": "left", "c": "center", "r": "right"}[word]
-        own = (style or {}).get("align")
-        align = own or ("center" if centre else justify)
-        name = (style or {}).get("name")
-        out.append(Format(heading_level(name) if name else None, align, name, tuple((style or {}).get("attrs", ()))))
-    return out
-
-
-def blank(line: Line) -> bool:
-    return not line.text.strip()
-
-
-def margin(lines: list[Line]) -> int:
+def margin(lines: list[Line], texts: list[str]) -> int:
     """The length at nine tenths of the soft-returned lines' lengths, at least 65."""
-    n = sorted(len(x.text.rstrip()) for x in lines if x.brk[:1] in (b"\x8d", b"\x8a") and not blank(x))
+    n = sorted(len(t.rstrip()) for x, t in zip(lines, texts, strict=True) if x.brk[:1] in (b"\x8d", b"\x8a") and t.strip())
     return max(65, n[int(0.9 * len(n))] if n else 0)
 
 
-def separate(lines: list[Line], width: int, soft_is_wrap: bool) -> None:
+def separate(lines: list[Line], texts: list[str], width: int, soft_is_wrap: bool) -> None:
     """Break kinds, from the last line back: what follows a line is known when it is reached."""
-    ahead: Line | None = None
+    ahead = None  # the text of the next line that isn't blank, without an indent that a tab made
     hard = total = 0
-    for line in reversed(lines):
+    for line, own in zip(reversed(lines), reversed(texts), strict=True):
         own_hard = line.hard or line.brk in (b"\x0c", b"\x8c")
-        if blank(line):
+        if not own.strip():
             line.sep = "blank-hard" if own_hard else "blank-soft"
             hard += own_hard
             total += bool(line.brk)
@@ -474,10 +458,9 @@ def separate(lines: list[Line], width: int, soft_is_wrap: bool) -> None:
         elif hard:
             line.sep = "line"
         else:
-            text = ahead.text.lstrip(" ") if ahead.tab_indent else ahead.text
-            fits = not soft_is_wrap and len(line.text.rstrip()) + 1 + len(text.split(" ", 1)[0]) < width
-            line.sep = "line" if text.startswith(" ") or fits else "wrap"
-        ahead, hard, total = line, 0, 0
+            fits = not soft_is_wrap and len(own.rstrip()) + 1 + len(ahead.split(" ", 1)[0]) < width
+            line.sep = "line" if ahead.startswith(" ") or fits else "wrap"
+        ahead, hard, total = own.lstrip(" ") if line.tab_indent else own, 0, 0
 
 
 def read_print(data: bytes, encoding: str = "cp437", codes: dict[int, tuple[str, int]] | None = None) -> Document:
@@ -535,32 +518,93 @@ SCHEMA = f"""doc_id long, variant string, release string, driver string, margin
 
 def dots_of(doc: Document) -> Iterator[tuple[int, str, str]]:
     for pos, line in enumerate(doc.lines):
-        m = _dot.match(line.text)
+        m = _dot.match(line.text) if doc.variant.startswith("ws") else None
         if m:
             yield pos, m[1].lower(), m[2].strip()
 
 
-def row(doc_id: int | None, data: bytes | None, encoding: str, variant: str | None = None) -> tuple:
-    try:
-        d = parse(data or b"", variant, encoding)
-    except ParseError as e:
-        return (doc_id, None, None, None, None, [], [], [], [], [], [], 0, {"kind": e.kind, "message": str(e)})
-    spans = lambda x: [{"text": s.text, "styles": list(s.styles), "font": s.font, "colour": s.colour, "ref": s.ref} for s in x.spans]
-    lines = [{"pos": k, "sep": x.sep, "hard": x.hard, "page": x.page, "text": x.text, "spans": spans(x)} for k, x in enumerate(d.lines)]
-    notes = [{"note_ix": k, "kind": n.kind, "text": n.text, "number": n.number, "tag": n.tag} for k, n in enumerate(d.notes)]
-    dots = [{"pos": p, "cmd": c, "arg": a} for p, c, a in dots_of(d)]
-    return (doc_id, d.variant, d.release, d.driver, d.margin, lines, notes, dots, d.fonts, d.graphics, d.includes, len(d.unknown), None)
+def listed(parts: list[list], kind: pa.DataType) -> pa.ListArray:
+    """One list for each document, from lists of values of a type."""
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array([v for x in parts for v in x], kind))
 
 
-def read_documents(files: DataFrame, encoding: str = "cp437", variant: str | None = None) -> DataFrame:
+def structs(parts: list[list[tuple]], fields: dict[str, pa.DataType]) -> pa.ListArray:
+    """One list of structs for each document, from lists of tuples. Columns are built whole, without dicts."""
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    columns = list(zip(*(v for x in parts for v in x), strict=True)) or [()] * len(fields)
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, fields.values(), strict=True)]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(arrays, names=list(fields)))
+
+
+def lines_of(docs: list[Document | None]) -> pa.ListArray:
+    lines = [d.lines if d else [] for d in docs]
+    flat = [x for part in lines for x in part]
+    spans = [s for x in flat for s in x.spans]
+    ends = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    integer = lambda values: pa.array(values, pa.int32())
+    styles = listed([list(s.styles) for s in spans], pa.string())
+    span = pa.StructArray.from_arrays([pa.array([s.text for s in spans], pa.string()), styles, integer([s.font for s in spans]), integer([s.colour for s in spans]), integer([s.ref for s in spans])], names=["text", "styles", "font", "colour", "ref"])
+    held = pa.ListArray.from_arrays(ends([len(x.spans) for x in flat]), span)
+    pos = integer([k for part in lines for k in range(len(part))])
+    columns = [pos, pa.array([x.sep for x in flat], pa.string()), pa.array([x.hard for x in flat], pa.bool_()), pa.array([x.page for x in flat], pa.bool_()), pa.array([x.text for x in flat], pa.string()), held]
+    return pa.ListArray.from_arrays(ends([len(x) for x in lines]), pa.StructArray.from_arrays(columns, names=["pos", "sep", "hard", "page", "text", "spans"]))
+
+
+def parsed(data: bytes | None, encoding: str, variant: str | None) -> Document | ParseError:
+    try:
+        return parse(data or b"", variant, encoding)
+    except ParseError as e:
+        return e
+
+
+def batch_of(ids: pa.Array, found: list[Document | ParseError]) -> pa.RecordBatch:
+    docs = [d if isinstance(d, Document) else None for d in found]
+    errors = [None if d else {"kind": e.kind, "message": str(e)} for d, e in zip(docs, found, strict=True)]
+    one = lambda name, kind: pa.array([getattr(d, name) if d else None for d in docs], kind)
+    many = lambda name: [getattr(d, name) if d else [] for d in docs]
+    text, integer = pa.string(), pa.int32()
+    columns = {
+        "doc_id": ids,
+        "variant": one("variant", text),
+        "release": one("release", text),
+        "driver": one("driver", text),
+        "margin": one("margin", integer),
+        "lines": lines_of(docs),
+        "notes": structs([[(k, n.kind, n.text, n.number, n.tag) for k, n in enumerate(x)] for x in many("notes")], {"note_ix": integer, "kind": text, "text": text, "number": integer, "tag": text}),
+        "dots": structs([list(dots_of(d)) if d else [] for d in docs], {"pos": integer, "cmd": text, "arg": text}),
+        "fonts": structs([[tuple(f.values()) for f in x] for x in many("fonts")], dict.fromkeys(("width_hmi", "height_vmi", "typestyle"), integer)),
+        "graphics": listed(many("graphics"), text),
+        "includes": listed(many("includes"), text),
+        "n_unknown": pa.array([len(x) for x in many("unknown")], integer),
+        "error": pa.array(errors, pa.struct([("kind", text), ("message", text)])),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def portions(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of batches of ``doc_id, content`` that hold few bytes, so that a large file is worked on alone."""
+    for batch in batches:
+        size = np.cumsum([0 if x is None else x for x in pc.binary_length(batch.column("content")).to_pylist()])
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + limit, "right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
+def spread_files(files: DataFrame, partitions: int | None) -> DataFrame:
+    """``doc_id, content``, dealt anew where a source has fewer partitions than there are cores to parse them."""
+    held = files.select(files["doc_id"].cast("long").alias("doc_id"), "content")
+    return held if partitions is None else held.repartition(partitions)
+
+
+def read_documents(files: DataFrame, encoding: str = "cp437", variant: str | None = None, partitions: int | None = None) -> DataFrame:
     """``doc_id, content`` to one row of typed arrays each. What can't be read is a row with an error. ``variant``
     overrules what the bytes look like."""
-    names = [f.split()[0] for f in ("doc_id", "variant", "release", "driver", "margin", "lines", "notes", "dots", "fonts", "graphics", "includes", "n_unknown", "error")]
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for a in range(0, len(batch), 64):
-                part = batch.iloc[a : a + 64]
-                yield pd.DataFrame([row(i, None if b is None else bytes(b), encoding, variant) for i, b in zip(part["doc_id"], part["content"], strict=True)], columns=names)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in portions(batches):
+            yield batch_of(part.column("doc_id"), [parsed(b, encoding, variant) for b in part.column("content").to_pylist()])
 
-    return files.select("doc_id", "content").mapInPandas(read, SCHEMA)
+    return spread_files(files, partitions).mapInArrow(read, SCHEMA)

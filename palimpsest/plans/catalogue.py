@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from palimpsest.plans import documents, relational  # noqa: F401
+    from palimpsest.plans import commands, documents, formats, relational, spans  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

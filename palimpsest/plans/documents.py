@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import escape
-from palimpsest.operators import codec, detect, dots, lexical, reflow
+from palimpsest.operators import codec, detect, dots, lexical, marks, reflow
 from palimpsest.plans.catalogue import query
 
 LINES_SQL = "lines AS (SELECT doc_id, unnest(range(len(l)))::INT AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
@@ -55,8 +55,7 @@ LIST_RULES = [
     ("pos % 6 = 5", "concat('label:   ', line)"),
 ]
 INDENT_RULES = [("pos % 5 = 0", "concat('     ', line)"), ("pos % 5 = 3", "concat('       ', line)"), ("pos % 17 = 4", "''")]
-SLUG_RULES = [("pos % 8 = 3", "concat('INT. ', line)"), ("pos % 23 = 6", "concat('EXT. ', line)")]
-SHORT_RULES = [("pos % 4 = 0", "concat(substr(line, 1, 30), '.')"), ("pos % 4 = 1", "substr(line, 1, 25)"), ("pos % 4 = 2", "concat('\"', substr(line, 1, 20), '\"')")]
+SHORT_RULES = [("pos % 4 = 0", "concat(line, '.')"), ("pos % 4 = 1", "concat(line, ',')"), ("pos % 4 = 2", "concat('\"', line, '\"')")]
 
 
 def framed(spark: SparkSession, sf_dir: str, rules: list[tuple[str, str]]) -> DataFrame:
@@ -252,17 +251,6 @@ def paragraph_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("unit_ix", "line_from", "line_to", "n_lines")])
 
 
-@query(
-    "screenplay_regions",
-    _framed_sql(SLUG_RULES)
-    + """, s AS (SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM f WHERE regexp_matches(line, '^(INT|EXT)[. ]')), m AS (SELECT doc_id, max(pos) AS last FROM lines GROUP BY doc_id)
-    SELECT doc_id, pos::BIGINT AS start, least(coalesce(nxt - 1, last), pos + 40, last)::BIGINT AS stop FROM s JOIN m USING (doc_id)""",
-)
-def screenplay_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reflow.screenplay_regions(framed(spark, sf_dir, SLUG_RULES))
-    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
-
-
 _BULLET_SQL = (
     _framed_sql(LIST_RULES)
     + r""", g AS (SELECT doc_id, pos, length(regexp_extract(line, '^( *)([*+-])( +)(\S.*)$', 1)) AS col, regexp_extract(line, '^( *)([*+-])( +)(\S.*)$', 2) AS marker, regexp_extract(line, '^( *)([*+-])( +)(\S.*)$', 4) AS body
@@ -316,21 +304,21 @@ def paginate_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH RECURSIVE {LINES_SQL}, w AS (SELECT doc_id, pos, line, greatest(1, ceil(length(line) / 65.0))::INT AS n FROM lines),
     p AS (SELECT doc_id, pos, line, 1 AS page, n AS used FROM w WHERE pos = 0 UNION ALL
       SELECT w.doc_id, w.pos, w.line, p.page + CASE WHEN p.used + w.n > 55 THEN 1 ELSE 0 END, CASE WHEN p.used + w.n > 55 THEN w.n ELSE p.used + w.n END FROM p JOIN w ON w.doc_id = p.doc_id AND w.pos = p.pos + 1)
-    SELECT doc_id, pos::BIGINT AS pos, replace(left(line, 20) || ' #', '#', page::VARCHAR) AS entry FROM p WHERE pos % 10 = 1""",
+    SELECT doc_id, pos::BIGINT AS pos, replace(line || ' #', '#', page::VARCHAR) AS entry FROM p""",
 )
 def toc_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries with the page they fall on, which replaces the number sign."""
     source = lines(spark, sf_dir)
     pages = reflow.paginate(source)
-    entries = source.where(F.col("pos") % 10 == 1).select("doc_id", "pos", F.concat(F.left("line", F.lit(20)), F.lit(" #")).alias("entry"))
+    commands = source.withColumn("line", F.concat(F.lit(".tc3 "), "line", F.lit(" #")))
+    entries = marks.contents(commands)
     return entries.join(pages, ["doc_id", "pos"]).select("doc_id", F.col("pos").cast("long").alias("pos"), F.replace("entry", F.lit("#"), F.col("page").cast("string")).alias("entry"))
 
 
-@query("text_align", f"WITH {LINES_SQL}, t AS (SELECT doc_id, pos, trim(left(line, 40 + pos % 30), ' ') AS s FROM lines) SELECT doc_id, pos::BIGINT AS pos, CASE pos % 3 WHEN 0 THEN repeat(' ', (greatest(0, 66 - length(s)) // 2)::INT) || s WHEN 1 THEN repeat(' ', greatest(0, 66 - length(s))::INT) || s ELSE s END AS line FROM t")
+@query("text_align", f"WITH {LINES_SQL}, t AS (SELECT doc_id, pos, trim(line, ' ') AS s FROM lines) SELECT doc_id, pos::BIGINT AS pos, CASE pos % 3 WHEN 0 THEN repeat(' ', (greatest(0, 66 - length(s)) // 2)::INT) || s WHEN 1 THEN repeat(' ', greatest(0, 66 - length(s))::INT) || s ELSE s END AS line FROM t")
 def text_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = F.trim(F.left("line", F.lit(40) + F.col("pos") % 30))
     align = F.when(F.col("pos") % 3 == 0, "center").when(F.col("pos") % 3 == 1, "right").otherwise("left")
-    return lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), reflow.aligned(cut, align).alias("line"))
+    return lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), reflow.aligned(F.col("line"), align).alias("line"))
 
 
 @query("markdown_escape", r"SELECT doc_id, regexp_replace(text, '([\\*_#`\[\]])', '\\\1', 'g') AS escaped FROM documents")
@@ -422,19 +410,7 @@ def parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.operators.wordfile import read_documents
 
     latin = F.regexp_replace(detect.byte_string(F.col("content")), r"([\x80-\xff])", "\x1b$1\x1c")  # as newer files write them
-    read = read_documents(as_files(spark, sf_dir).withColumn("content", F.encode(latin, "ISO-8859-1")), variant="ws5+")
+    files = as_files(spark, sf_dir).withColumn("content", F.encode(latin, "ISO-8859-1"))
+    read = read_documents(files, variant="ws5+", partitions=2 * spark.sparkContext.defaultParallelism)
     n = F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + F.length(x["text"]))
     return read.select("doc_id", F.size("lines").cast("long").alias("n_lines"), n.alias("n_chars"))
-
-
-def _emitted(to: str):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from palimpsest.operators.emit import convert
-
-        return convert(as_files(spark, sf_dir), to=to)
-
-    return run
-
-
-for _format in ("text", "markdown", "html", "rtf", "layout", "diagnose", "pdf", "native"):
-    query(f"emit_{_format}")(_emitted(_format))

@@ -26,11 +26,8 @@ def canonical(df: pd.DataFrame) -> pd.DataFrame:
     return df.sort_values(list(df.columns), key=lambda s: s.fillna("")).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracles())))
-def test_query_without_sql_gives_a_row_for_each_document(spark, sf_dir, name):
-    found = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
-    assert found.where("error IS NULL").count() > 0
-    assert found.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+def test_every_query_has_its_sql():
+    assert set(catalogue.queries()) == set(catalogue.oracles())
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.oracles()))
