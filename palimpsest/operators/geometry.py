@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .dots import NUMBER, inches, text_lines
+from .reflow import folded
 
 #: Fixed: points of a column and a line, least body lines on a page with notes, the rule before them.
 POINTS_A_COLUMN, POINTS_A_LINE, LEAST_BODY, RULE = 7.2, 12, 3, 20
@@ -62,20 +63,17 @@ def capacity_in_force(margins: DataFrame, pages: DataFrame, pl: float = 66.0, lh
 def paginate_breaks(lines: DataFrame, capacity: int = 55) -> DataFrame:
     """``doc_id, pos, page`` of text lines in ``doc_id, pos, kind, n``. Kinds: ``text``; ``over``, which takes no room;
     ``pagebreak``; ``condpage``, which breaks a page that holds something and has fewer than n lines left."""
-    ordered = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "n"))).alias("rows"))
-    start = F.expr("named_struct('page', 1, 'used', 0, 'out', cast(array() as array<struct<pos:int,page:int>>))")
-
-    def step(a: Column, x: Column) -> Column:
-        holds = a["used"] > 0
-        forced = (x["kind"] == "pagebreak") | ((x["kind"] == "condpage") & holds & (F.lit(capacity) - a["used"] < x["n"]))
-        text = x["kind"].isin("text", "over")
-        full = (x["kind"] == "text") & holds & (a["used"] + 1 > capacity)
-        page = (a["page"] + F.when(forced | full, 1).otherwise(0)).cast("int")
-        used = F.when(forced, 0).when(full, 1).otherwise(a["used"] + F.when(x["kind"] == "text", 1).otherwise(0)).cast("int")
-        out = F.when(text, F.concat(a["out"], F.array(F.struct(x["pos"].alias("pos"), page.alias("page"))))).otherwise(a["out"])
-        return F.struct(page.alias("page"), used.alias("used"), out.alias("out"))
-
-    return ordered.select("doc_id", F.explode(F.aggregate("rows", start, step)["out"]).alias("x")).select("doc_id", "x.pos", "x.page")
+
+    def pages(kinds: list[str], needs: list[int]) -> Iterator[int | None]:
+        page, used = 1, 0
+        for kind, need in zip(kinds, needs, strict=True):
+            if kind == "pagebreak" or (kind == "condpage" and used and capacity - used < need):
+                page, used = page + 1, 0
+            if kind == "text":
+                page, used = (page + 1, 1) if used and used + 1 > capacity else (page, used + 1)
+            yield page if kind in ("text", "over") else None
+
+    return folded(lines, {"kind": F.col("kind"), "n": F.col("n")}, pages, "page")
 
 
 def note_pages(body: list[tuple[str, list[list[str]]]], capacity: int) -> list[tuple[list[str], list[str]]]:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +18,27 @@ SELF_CONTAINED = r"^\s*[\"‘“'].*[\"’”'].*$"
 BOXES = r"[\x{2500}-\x{259F}]"
 
 
+def folded(rows: DataFrame, fields: dict[str, Column], step: Callable[..., Iterator[int | None]], name: str) -> DataFrame:
+    """``doc_id, pos`` and a number for each row of a document, by one pass over its rows in order: ``step`` takes the
+    fields' values and gives a number, or null for a row that has none. Linear in a document's rows."""
+    names = ("pos", *fields)
+    held = rows.select("doc_id", F.col("pos").cast("long").alias("pos"), *[c.alias(n) for n, c in fields.items()])
+    ordered = held.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("rows")
+            ends = lists.offsets.to_numpy()
+            columns = [lists.values.field(n).to_pylist() for n in names]
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), ends, ends[1:], strict=False):
+                pos, *values = (c[a:b] for c in columns)
+                made = list(step(*values))
+                keep = [k for k, x in enumerate(made) if x is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(keep), pa.int64()), pa.array(np.array(pos, dtype=np.int64)[keep]), pa.array([made[k] for k in keep], pa.int64())], names=["doc_id", "pos", name])
+
+    return ordered.select(F.col("doc_id").cast("long").alias("doc_id"), "rows").mapInArrow(run, f"doc_id long, pos long, {name} long")
+
+
 def verse_verdict(n_text: Column, n_graphic: Column, n_scored: Column, n_quotes: Column, n_terminal: Column) -> Column:
     """Whether a run of short lines is a stanza; ties are prose."""
     share = n_terminal / F.nullif(n_scored, F.lit(0))
@@ -88,17 +113,18 @@ def definitions(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(form)).select("doc_id", "pos", F.regexp_extract("line", form, 1).alias("label"), F.regexp_extract("line", form, 3).alias("body"))
 
 
-def nesting(rows: DataFrame) -> DataFrame:
-    """``doc_id, pos, level``: a stack of columns. A deeper column pushes, a shallower one pops to where it fits."""
-    ordered = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "col"))).alias("rows"))
-    start = F.expr("named_struct('stack', cast(array() as array<int>), 'out', cast(array() as array<struct<pos:int,level:int>>))")
+def levels(columns: list[int]) -> Iterator[int]:
+    stack: list[int] = []
+    for column in columns:
+        while stack and stack[-1] >= column:
+            stack.pop()
+        stack.append(column)
+        yield len(stack)
 
-    def step(acc: Column, row: Column) -> Column:
-        stack = F.filter(acc["stack"], lambda c: c < row["col"])
-        stack = F.concat(stack, F.array(row["col"]))
-        return F.struct(stack.alias("stack"), F.concat(acc["out"], F.array(F.struct(row["pos"].alias("pos"), F.size(stack).alias("level")))).alias("out"))
 
-    return ordered.select("doc_id", F.explode(F.aggregate("rows", start, step)["out"]).alias("r")).select("doc_id", "r.pos", "r.level")
+def nesting(rows: DataFrame) -> DataFrame:
+    """``doc_id, pos, level``: a stack of columns. A deeper column pushes, a shallower one pops to where it fits."""
+    return folded(rows, {"col": F.col("col")}, levels, "level")
 
 
 def roman(n: Column) -> Column:
@@ -136,14 +162,13 @@ def aligned(line: Column, align: Column, right: int = 65, left: int = 0) -> Colu
 
 def paginate(lines: DataFrame, capacity: int = 55, width: int = 65) -> DataFrame:
     """``doc_id, pos, page``: lines wrapped at ``width`` fill pages greedily; a line never breaks an empty page."""
-    rows = F.greatest(F.lit(1), F.ceil(F.length("line") / width)).cast("int")
-    ordered = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", rows.alias("rows")))).alias("lines"))
-    start = F.expr("named_struct('page', 1, 'used', 0, 'out', cast(array() as array<struct<pos:int,page:int>>))")
 
-    def step(a: Column, x: Column) -> Column:
-        breaks = (a["used"] > 0) & (a["used"] + x["rows"] > capacity)
-        page = (a["page"] + F.when(breaks, 1).otherwise(0)).cast("int")
-        used = F.when(breaks, x["rows"]).otherwise(a["used"] + x["rows"]).cast("int")
-        return F.struct(page.alias("page"), used.alias("used"), F.concat(a["out"], F.array(F.struct(x["pos"].alias("pos"), page.alias("page")))).alias("out"))
+    def pages(rows: list[int]) -> Iterator[int]:
+        page, used = 1, 0
+        for n in rows:
+            if used and used + n > capacity:
+                page, used = page + 1, 0
+            used += n
+            yield page
 
-    return ordered.select("doc_id", F.explode(F.aggregate("lines", start, step)["out"]).alias("x")).select("doc_id", "x.pos", "x.page")
+    return folded(lines, {"rows": F.greatest(F.lit(1), F.ceil(F.length("line") / width)).cast("int")}, pages, "page")
