@@ -228,7 +228,7 @@ class Fold:
             self.style = self.style if self.chosen[pos] is False else self.chosen[pos]
             self.close()
         if self.commands and is_command(line):
-            self.obey(line.text.rstrip())
+            self.obey(line.text.rstrip(), toggled(line.spans).rstrip())
             return
         if line.spans:
             shift = self.comments
@@ -245,13 +245,13 @@ class Fold:
         if line.sep in ("para", "eof"):
             self.close()
 
-    def obey(self, text: str) -> None:
+    def obey(self, text: str, styled: str) -> None:
         self.body.commands.append((len(self.body.blocks), len(self.open.lines), text))
         found = command(text)
         if text[:2] == ".." or (found and found[0] == "ig"):
             self.comment(text[2:] if text[:2] == ".." else text[3:], ".." if text[:2] == ".." else ".ig")
             return
-        head, entry = _head.match(text), _contents.match(text)
+        head, entry = _head.match(styled), _contents.match(text)
         if head:
             place, n = head[1].lower()
             self.body.heads.append(("head" if place == "h" else "foot", 1 if n in "eo" else int(n), head[2].rstrip(), self.ahead))
@@ -357,6 +357,12 @@ def body_of(doc: Document) -> Body:
 # lines of spans
 
 
+def toggled(spans: list[Span]) -> str:
+    """Text with the toggle of each style before and behind the spans that have it, as running heads keep it."""
+    codes = [("".join(chr(wordfile.TOGGLE_OF[t]) for t in s.styles if t in wordfile.TOGGLE_OF), s.text) for s in spans if s.ref is None]
+    return "".join(c + text + c[::-1] for c, text in codes)
+
+
 def seen(spans: list[Span]) -> str:
     return "".join(s.text for s in spans if s.ref is None)
 
@@ -643,13 +649,11 @@ def sliced(spans: list[Span], start: int, stop: int | None = None) -> list[Span]
 
 def head_runs(text: str) -> list[tuple[str, tuple[str, ...]]]:
     """Runs of a running head with the styles that its toggles set; an empty list if nothing is visible."""
-    from .wordfile import TOGGLES
-
     out: list[tuple[str, tuple[str, ...]]] = []
     on: set[str] = set()
     for part in re.split(r"([\x00-\x1f])", text.replace("∙", "•")):
         if len(part) == 1 and part < " ":
-            on ^= {TOGGLES[ord(part)]} if ord(part) in TOGGLES and ord(part) != 4 else set()
+            on ^= {t for t, code in wordfile.TOGGLE_OF.items() if code == ord(part)}
         elif part:
             out.append((part, tuple(sorted(on))))
     return out if any(t.strip() for t, _ in out) else []

@@ -655,7 +655,7 @@ def flow(view: View) -> list[dict]:
         if b.kind == "para" and b.look.tabs != tabs:
             tabs = b.look.tabs
             items.append({"kind": "tabs", "stops": list(tabs) or None})
-        items += [{"kind": "hf", "which": place[0].upper().replace("H", "H"), "line": n, "text": text} for place, n, text, at in body.heads if at == k]
+        items += [{"kind": "hf", "which": place[0].upper(), "line": n, "text": text} for place, n, text, at in body.heads if at == k]
         if b.kind != "para":
             items.append({"kind": "break", "origin": "\f" if b.origin == "ff" else ".pa"} if b.kind == "pagebreak" else {"kind": "cond", "lines": b.need})
             continue
@@ -730,7 +730,6 @@ def native(doc: Document, mode: str = "modern", notes: tuple[str, ...] = NOTE_KI
         raise ValueError("documents with double-byte runs can't be written back")
     kind = doc.variant
     out = bytearray()
-    reverse = {"b": 0x02, "u": 0x13, "sup": 0x14, "sub": 0x16, "strike": 0x18, "i": 0x19}
     for line in doc.lines:
         own = wordfile.Reader(line.raw, kind).read() if kind.startswith("ws") else wordfile.read_print(line.raw)
         plain = "".join(x.text for x in own.lines)
@@ -738,7 +737,7 @@ def native(doc: Document, mode: str = "modern", notes: tuple[str, ...] = NOTE_KI
             out += line.raw + line.brk
             continue
         for s in line.spans:
-            codes = bytes(reverse[t] for t in s.styles if t in reverse)
+            codes = bytes(wordfile.TOGGLE_OF[t] for t in s.styles if t in wordfile.TOGGLE_OF)
             out += codes + s.text.encode("cp437", "replace") + codes[::-1]
         out += line.brk
     return bytes(out + doc.tail)

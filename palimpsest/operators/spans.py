@@ -66,14 +66,28 @@ def align_spaces(text: Column, align: Column) -> Column:
     return F.when(align.isin("center", "right"), F.trim(text)).otherwise(text)
 
 
-#: Fixed: the symbol face's Greek letters by their keyboard letters.
-SYMBOL_LATIN = "abcdefghiklmnopqrstuwxyzABDEGHIKLMNOPQRSTUWXYZ"
-SYMBOL_GREEK = "αβχδεφγηικλμνοπθρστυωξψζΑΒΔΕΓΗΙΚΛΜΝΟΠΘΡΣΤΥΩΞΨΖ"
+#: Fixed: what the symbol face shows for the characters of its codes; suits that the dingbats face has beside its block.
+SYMBOL_CODES = "ABGDEZHQIKLMNXOPRSTUFCYWabgdezhqiklmnxoprstufcywVjvJ\"$'*-@~¹£³´¸¥ÎÏåÕÖ×¶Ñò«¬®¯"
+SYMBOL_SHOWN = "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩαβγδεζηθικλμνξοπρστυφχψωςϕϖϑ∀∃∋∗−≅∼≠≤≥×÷∞∈∉∑∏√⋅∂∇∫↔←→↓"
+SUIT_CODES, SUITS = "¨©ª«", "♣♦♥♠"
 
 
 def symbol(text: Column) -> Column:
-    return F.translate(text, SYMBOL_LATIN, SYMBOL_GREEK)
+    return F.translate(text, SYMBOL_CODES, SYMBOL_SHOWN)
 
 
 def unsymbol(text: Column) -> Column:
-    return F.translate(text, SYMBOL_GREEK, SYMBOL_LATIN)
+    return F.translate(text, SYMBOL_SHOWN, SYMBOL_CODES)
+
+
+#: The dingbats face shows its codes 21 to 7E as the characters 2701 to 275E.
+_DINGBAT_CODES = "".join(map(chr, range(0x21, 0x7F)))
+_DINGBATS = "".join(chr(0x2700 + ord(c) - 0x20) for c in _DINGBAT_CODES)
+
+
+def dingbats(text: Column) -> Column:
+    return F.translate(text, _DINGBAT_CODES + SUIT_CODES, _DINGBATS + SUITS)
+
+
+def undingbats(text: Column) -> Column:
+    return F.translate(text, _DINGBATS + SUITS, _DINGBAT_CODES + SUIT_CODES)

@@ -20,6 +20,7 @@ from .codec import glyph
 
 #: Fixed: style toggles, codes that mean nothing, note kinds, releases, print codes.
 TOGGLES = {0x02: "b", 0x04: "b", 0x13: "u", 0x14: "sup", 0x16: "sub", 0x18: "strike", 0x19: "i"}
+TOGGLE_OF = {"b": 0x02, "u": 0x13, "sup": 0x14, "sub": 0x16, "strike": 0x18, "i": 0x19}
 SILENT = {0x03, 0x0B, 0x10, 0x11, 0x12, 0x15, 0x17, 0x1C}
 NOTES = {3: "footnote", 4: "endnote", 5: "annotation", 6: "comment"}
 RELEASES = {0x50, 0x55, 0x60, 0x70}

@@ -108,6 +108,18 @@ def contents_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.rtrim(toc, F.lit("\n")).alias("toc"), F.regexp_extract("output", r"(?s)\nINDEX\n\n(.*)\n$", 1).alias("idx"))
 
 
+@query(
+    "styled_heads",
+    r"SELECT doc_id, '{\\header \\pard\\plain \\f0\\fs22 {Part ' || doc_id || ' }{\\b bold}{ and }{\\i it}{ p. {\\chpgn }}\\par}' AS header, 2::BIGINT AS n_runs FROM documents".replace("\\\\", "\\"),
+)
+def styled_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A running head keeps its toggles, and its number sign becomes the page number's field."""
+    held = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.concat(F.lit(".he Part "), F.col("doc_id").cast("string"), F.lit(" \x02bold\x02 and \x19it\x19 p. #\r\nbody\r\n")), "ISO-8859-1").alias("content"))
+    made = emit.convert(held, to="rtf", variant="ws5+", partitions=partitions(spark))
+    header = F.regexp_extract("output", r"(\{\\header .*?\\par\})", 1)
+    return made.select("doc_id", header.alias("header"), F.regexp_count(header, F.lit(r"\\[bi] ")).cast("long").alias("n_runs"))
+
+
 @query(
     "comment_notes",
     f"WITH {SEEN} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS note_ix, CASE pos % 6 WHEN 1 THEN 'remark ' || pos ELSE 'other ' || pos END AS text, CASE pos % 6 WHEN 1 THEN '..' ELSE '.ig' END AS origin, pos::BIGINT AS block_ix FROM seen WHERE pos % 6 IN (1, 4)",

@@ -5,10 +5,13 @@ Spans are cut from the documents' lines: runs of words whose styles come from th
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators import detect, diagnostics, dots, geometry, reflow, settings, spans
+from palimpsest.functions import fonts
+from palimpsest.operators import detect, diagnostics, dots, geometry, pictures, reflow, settings, spans
 from palimpsest.plans.catalogue import query
 from palimpsest.plans.documents import LINES_SQL, lines, table
 from palimpsest.sources import files as sources
@@ -100,10 +103,70 @@ def align_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), spans.align_spaces(F.concat(F.lit("   "), "line", F.lit("  ")), align).alias("text"))
 
 
-@query("symbol_face", "SELECT doc_id, translate(text, 'abcdefghiklmnopqrstuwxyzABDEGHIKLMNOPQRSTUWXYZ', 'αβχδεφγηικλμνοπθρστυωξψζΑΒΔΕΓΗΙΚΛΜΝΟΠΘΡΣΤΥΩΞΨΖ') AS greek, true AS back FROM documents")
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query("symbol_face", f"SELECT doc_id, translate(text, {_quoted(spans.SYMBOL_CODES)}, {_quoted(spans.SYMBOL_SHOWN)}) AS shown, true AS back FROM documents")
 def symbol_face(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = spans.symbol(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", made.alias("greek"), (spans.unsymbol(made) == F.col("text")).alias("back"))
+    return table(spark, sf_dir, "documents").select("doc_id", made.alias("shown"), (spans.unsymbol(made) == F.col("text")).alias("back"))
+
+
+@query(
+    "dingbats_face",
+    "SELECT doc_id, list_aggregate(list_transform(string_split(t, ''), lambda c: CASE WHEN ord(c) BETWEEN 33 AND 126 THEN chr(ord(c) + 9952) WHEN c = '¨' THEN '♣' ELSE c END), 'string_agg', '') AS shown, true AS back FROM (SELECT doc_id, '¨' || text AS t FROM documents)",
+)
+def dingbats_face(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("¨"), "text")
+    made = spans.dingbats(text)
+    return table(spark, sf_dir, "documents").select("doc_id", made.alias("shown"), (spans.undingbats(made) == text).alias("back"))
+
+
+@query(
+    "base_faces",
+    """SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 5 = 0 THEN 'Courier' WHEN p_partkey % 4 = 0 THEN 'Helvetica' WHEN p_partkey % 4 = 1 THEN 'Symbol' WHEN p_partkey % 4 = 2 THEN 'Times' ELSE 'ZapfDingbats' END AS family,
+      CASE WHEN p_partkey % 5 = 0 THEN 'Courier' || CASE WHEN p_size % 2 = 0 THEN '-Bold' ELSE '' END WHEN p_partkey % 4 = 0 THEN 'Helvetica' || CASE WHEN p_size % 2 = 0 THEN '-Bold' ELSE '' END WHEN p_partkey % 4 = 1 THEN 'Symbol' WHEN p_partkey % 4 = 2 THEN CASE WHEN p_size % 2 = 0 THEN 'Times-Bold' ELSE 'Times-Roman' END ELSE 'ZapfDingbats' END AS face FROM part""",
+)
+def base_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The viewer's base family and face of a typeface; a fixed pitch counts before the name does."""
+    k = F.col("p_partkey")
+    name = F.when(k % 4 == 0, "Univers").when(k % 4 == 1, "Symbol (Greek)").when(k % 4 == 2, "Garamond").otherwise("ITC Zapf Dingbats")
+    family = fonts.base_family(name, k % 5 != 0)
+    return table(spark, sf_dir, "part").select(k.alias("doc_id"), family.alias("family"), fonts.base_face(family, F.col("p_size") % 2 == 0, F.lit(False)).alias("face"))
+
+
+@query("text_widths", f"WITH {LINES_SQL} SELECT doc_id, pos::BIGINT AS pos, CASE WHEN pos % 2 = 0 THEN length(line) * 600 ELSE list_sum(list_transform(string_split(line, ''), lambda c: CASE WHEN c = ' ' THEN 250 WHEN c BETWEEN 'a' AND 'z' AND ord(c) < 128 THEN 400 + ord(c) ELSE 500 END)) END::BIGINT AS width FROM lines")
+def text_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Widths by a metric table of a few faces, which is broadcast; without one the pitch is fixed."""
+    metrics = fonts.read_metrics(["C 32 ; WX 250 ; N space ;", *(f"C {c} ; WX {400 + c} ; N x ;" for c in range(97, 123)), "C -1 ; WX 9 ; N none ;"])
+    faces = F.broadcast(fonts.metrics_table(spark, {"Proportional": metrics}))
+    held = lines(spark, sf_dir).withColumn("face", F.when(F.col("pos") % 2 == 1, "Proportional")).join(faces, "face", "left")
+    return held.select("doc_id", F.col("pos").cast("long").alias("pos"), fonts.text_width(F.col("line"), F.col("widths")).cast("long").alias("width"))
+
+
+def _picture(flags: int, colour_planes: int) -> bytes:
+    """A raster of eight by four pixels in one tile, as the format keeps it."""
+    info = bytes([0, flags]) + bytes(16) + struct.pack("<HH", 8, 4) + bytes([colour_planes]) + bytes(6)
+    tile = b"".join(bytes([0xAA, 0x80, 0x55, 0x00, 0x80, 0xFF]) for _ in range(colour_planes))
+    items = [(0x00, info), (0x01, bytes(64)), (0x02, struct.pack("<HHHH", 4, 8, 1, 1)), (0x8000, tile)]
+    at, index = 4 + 8 * len(items), b""
+    for key, data in items:
+        index += struct.pack("<HHI", key, len(data), at)
+        at += len(data)
+    return struct.pack("<HH", 0, len(items)) + index + b"".join(data for _, data in items)
+
+
+@query(
+    "pictures_decoded",
+    "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 5 < 2 THEN 8::BIGINT END AS width, CASE WHEN c_custkey % 5 < 2 THEN 4::BIGINT END AS height, CASE c_custkey % 5 WHEN 2 THEN 'text-mode' WHEN 3 THEN 'format' WHEN 4 THEN 'missing' END AS error, CASE WHEN c_custkey % 5 < 2 THEN '89504E470D0A1A0A' END AS head FROM customer",
+)
+def pictures_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters to PNG; a picture that can't be decoded is a row that says why."""
+    k = F.col("c_custkey") % 5
+    content = F.when(k == 0, F.lit(_picture(1, 1))).when(k == 1, F.lit(_picture(1, 4))).when(k == 2, F.lit(_picture(0, 1))).when(k == 3, F.lit(_picture(1, 1)[:40]))
+    made = pictures.decode_pictures(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit("x").alias("path"), content.alias("content")))
+    return made.select("doc_id", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), "error", F.hex(F.substring("png", 1, 8)).alias("head"))
 
 
 @query(
