@@ -137,9 +137,14 @@ class Body:
     includes: list[str] = field(default_factory=list)
     commands: list[tuple[int, int, str]] = field(default_factory=list)  #: block, line, text
     settings: dict = field(default_factory=dict)
+    machine: dict[str, float] = field(default_factory=dict)  #: page values of the machine that printed it
 
     def value(self, name: str) -> float:
-        return self.page.get(name, dots.DEFAULTS[name])
+        """The document's word, then the machine's, then the default."""
+        return self.page.get(name, self.machine.get(name, dots.DEFAULTS[name]))
+
+    def source(self, name: str) -> str:
+        return "file" if name in self.page else "machine-default" if name in self.machine else "default"
 
     @property
     def convention(self) -> int:
@@ -347,8 +352,9 @@ class Fold:
         return self.body
 
 
-def body_of(doc: Document) -> Body:
+def body_of(doc: Document, machine: dict[str, float] | None = None) -> Body:
     fold = Fold(doc)
+    fold.body.machine = machine or {}
     for pos, line in enumerate(doc.lines):
         fold.take(pos, line)
     return fold.done()

@@ -91,8 +91,8 @@ def slug(label: str) -> str:
 class View:
     """What an emitter needs of a document: its blocks, its notes with labels, the kinds to keep, its paragraphs."""
 
-    def __init__(self, doc: Document, mode: str, notes: tuple[str, ...], note_refs: str = "word"):
-        self.doc, self.body = doc, body_of(doc)
+    def __init__(self, doc: Document, mode: str, notes: tuple[str, ...], note_refs: str = "word", page: dict[str, float] | None = None):
+        self.doc, self.body = doc, body_of(doc, page)
         self.printed = effective_mode(doc, mode) == "printed"
         self.keep = {k for k in notes if k != "comment"} if self.printed else set(notes)
         self.scheme = note_refs
@@ -204,7 +204,8 @@ def markdown(doc: Document, mode: str = "modern", notes: tuple[str, ...] = DEFAU
             return f"[^{known(span.ref)}]" if span.ref in view.kept else ""
         if not span.text.strip():
             return span.text
-        lead, core, trail = re.match(r"^(\s*)(.*?)(\s*)$", span.text, re.S).groups()
+        core = span.text.strip()
+        lead, _, trail = span.text.partition(core)
         core = re.sub(r"([\\*_#`\[\]])", r"\\\1", core)
         for style in () if plain else b.styles(span):
             before, after = _MARKS.get(style, ("", ""))
@@ -492,8 +493,8 @@ class Paragraphs:
 
 
 @emitter("rtf", "rtf")
-def rtf(doc: Document, mode: str = "modern", notes: tuple[str, ...] = DEFAULT_NOTES, toc: bool = False, note_refs: str = "word", headers: bool = True, line_numbers: bool = True, styles: bool = True, pictures: dict[int, tuple] | None = None, **_) -> str:
-    view = View(doc, mode, notes, note_refs)
+def rtf(doc: Document, mode: str = "modern", notes: tuple[str, ...] = DEFAULT_NOTES, toc: bool = False, note_refs: str = "word", headers: bool = True, line_numbers: bool = True, styles: bool = True, pictures: dict[int, tuple] | None = None, page: dict[str, float] | None = None, **_) -> str:
+    view = View(doc, mode, notes, note_refs, page)
     body, on_paper = view.body, view.printed
     prefixed = note_refs == "prefixed" and not on_paper
     records = {r["slot"]: r for r in doc.styles if "attrs" in r} if styles else {}
@@ -693,8 +694,8 @@ def flow(view: View) -> list[dict]:
 
 
 @emitter("layout", "json", ("json",))
-def layout(doc: Document, mode: str = "modern", notes: tuple[str, ...] = DEFAULT_NOTES, note_refs: str = "word", **_) -> str:
-    view = View(doc, "modern", notes, note_refs)
+def layout(doc: Document, mode: str = "modern", notes: tuple[str, ...] = DEFAULT_NOTES, note_refs: str = "word", page: dict[str, float] | None = None, **_) -> str:
+    view = View(doc, "modern", notes, note_refs, page)
     body = view.body
     pages = [
         {
@@ -713,11 +714,11 @@ def layout(doc: Document, mode: str = "modern", notes: tuple[str, ...] = DEFAULT
 
 
 @emitter("diagnose", "json")
-def diagnose(doc: Document, mode: str = "modern", notes: tuple[str, ...] = NOTE_KINDS, **_) -> str:
-    body = body_of(doc)
+def diagnose(doc: Document, mode: str = "modern", notes: tuple[str, ...] = NOTE_KINDS, page: dict[str, float] | None = None, **_) -> str:
+    body = body_of(doc, page)
     counts = {k: sum(n.kind == k for n in body.notes) for k in NOTE_KINDS}
     facts = {"variant": doc.variant, "release": doc.release, "driver": doc.driver, "lines": len(doc.lines), "margin": doc.margin, "notes": counts, "fonts": len(doc.fonts), "graphics": doc.graphics, "includes": body.includes}
-    facts |= {"paragraphs": sum(b.kind == "para" for b in body.blocks), "page": {n: {"value": body.value(n), "source": "file" if n in body.page else "default"} for n in blocks.dots.DEFAULTS}, "formatting": body.settings}
+    facts |= {"paragraphs": sum(b.kind == "para" for b in body.blocks), "page": {n: {"value": body.value(n), "source": body.source(n)} for n in blocks.dots.DEFAULTS}, "formatting": body.settings}
     facts |= {"unknown_blocks": [{"type": f"0x{c:02x}", "offset": at, "length": len(data)} for c, at, data in doc.unknown], "unknown_codes": {f"{k:02x}": v for k, v in sorted(doc.tally.items())}, "dot_commands": [t for _, _, t in body.commands]}
     facts |= {"toc_entries": len(body.toc), "index_entries": len(body.index), "heads": [list(h) for h in body.heads], "columnar": effective_mode(doc, "modern") == "printed"}
     return json.dumps(facts, sort_keys=True)
@@ -744,9 +745,10 @@ def native(doc: Document, mode: str = "modern", notes: tuple[str, ...] = NOTE_KI
 
 
 @emitter("pdf", "pdf", binary=True)
-def pdf(doc: Document, mode: str = "printed", notes: tuple[str, ...] = DEFAULT_NOTES, columns: int = 65, **_) -> bytes:
-    """Pages of the document's own geometry; in modern mode paragraphs are wrapped anew."""
-    view = View(doc, mode, notes)
+def pdf(doc: Document, mode: str = "printed", notes: tuple[str, ...] = DEFAULT_NOTES, columns: int = 65, page: dict[str, float] | None = None, **_) -> bytes:
+    """Pages of the document's own geometry; in modern mode paragraphs are wrapped anew. ``page`` has the machine's values
+    (``settings.page_settings``), which count where the document says nothing."""
+    view = View(doc, mode, notes, page=page)
     shown = _shown(view)
     if view.printed:
         return printed.pdf_bytes(printed.pages_of(view.body, shown), view.body)

@@ -63,7 +63,7 @@ class Pager:
 
     def __init__(self, body: Body, start: int):
         self.body, self.pages, self.number = body, [], start
-        self.margins = {"mt": body.page.get("mt", 3.0), "mb": body.page.get("mb", 8.0)}
+        self.margins = {"mt": body.value("mt"), "mb": body.value("mb")}
         self.room = capacity(body, **self.margins)
         self.heads: dict[int, str] = {}
         self.feet: dict[int, str] = {}

@@ -16,6 +16,45 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return found.select(F.xxhash64("path").alias("doc_id"), "path", "content")
 
 
+def read_paths(spark: SparkSession, paths: list[str], pattern: str = "*") -> DataFrame:
+    """``doc_id, path, content, error`` of several paths; one that isn't there is a row that says so, and no failure."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def there(path: str) -> bool:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return bool(at.getFileSystem(hadoop).globStatus(at))
+
+    good = [p for p in paths if there(p)]
+    kind = "struct<kind:string,message:string>"
+    bad = spark.createDataFrame([(p, ("missing", "no such file")) for p in paths if p not in good], f"path string, error {kind}")
+    rows = bad.select(F.xxhash64("path").alias("doc_id"), "path", F.lit(None).cast("binary").alias("content"), "error")
+    if not good:
+        return rows
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(good)
+    return found.select(F.xxhash64("path").alias("doc_id"), "path", "content", F.lit(None).cast(kind).alias("error")).unionByName(rows)
+
+
+def write_documents(converted: DataFrame, folder: str, extension: str) -> DataFrame:
+    """One file for each row of ``path, output`` that has an output: the path's last part with another extension, written
+    by the executors to a folder that all of them reach. ``path, written`` says where; names that repeat get a number."""
+    stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
+    named = export_names(converted.where("output is not null").select(F.lit(0).alias("doc_id"), F.xxhash64("path").alias("graphic_ix"), stem.alias("stem"), "path", F.col("output").cast("binary").alias("output")))
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            to = [f"{base}/{name}.{extension}" for name in batch["name"]]
+            for path, data in zip(to, batch["output"], strict=True):
+                with system.open_output_stream(path) as out:
+                    out.write(bytes(data))
+            yield pd.DataFrame({"path": batch["path"], "written": to})
+
+    return named.select("path", "name", "output").mapInPandas(write, "path string, written string")
+
+
 def parse_settings(data: bytes) -> dict[str, bytes]:
     """A settings dump: ``label=item,item`` lines, items hexadecimal bytes or quoted text, ``=`` at the start of a line
     goes on with the label before; the last line of a label counts; 0x1A ends the dump."""

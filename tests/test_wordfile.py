@@ -290,3 +290,25 @@ def test_both_detectors_agree(spark):
     rows = [(k, bytearray(r.choice(pools[k % 4]) for _ in range(r.randrange(120)))) for k in range(400)] + [(1000, bytearray(HEAD + b"text here"))]
     found = detect.detect(spark.createDataFrame(rows, "doc_id long, content binary")).collect()
     assert {x["doc_id"]: x["variant"] for x in found} == {k: wordfile.classify(bytes(b)) for k, b in rows}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from palimpsest.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "ONE.WS").write_bytes(lines_to_bytes(".he Top", "Some text here."))
+    (tmp_path / "in" / "BAD.WS").write_bytes(bytes(range(1, 26)) * 9)
+    out = tmp_path / "out"
+    assert main(["--to", "text", "pdf", "--out", f"file://{out}", "--page-settings", "mt=2in,size=a4", str(tmp_path / "in" / "ONE.WS")]) == 0
+    assert (out / "ONE.txt").read_text() == "Some text here.\n"
+    assert b"/MediaBox [0 0 595.3 841.9]" in (out / "ONE.pdf").read_bytes()
+    assert main(["--to", "text", "--out", f"file://{out}", str(tmp_path / "in" / "BAD.WS"), str(tmp_path / "in" / "NONE.WS")]) == 1
+    said = capsys.readouterr().err
+    assert "BAD.WS: binary" in said and "NONE.WS: missing" in said
+
+
+def test_machine_settings_count_where_the_document_is_silent():
+    d = wordfile.parse(lines_to_bytes(".mt 6", *("x" for _ in range(100))), "ws5+")
+    facts = json.loads(emit.diagnose(d, page={"mt": 2.0, "mb": 4.0}))["page"]
+    assert facts["mt"] == {"value": 6.0, "source": "file"} and facts["mb"] == {"value": 4.0, "source": "machine-default"}
+    assert [len(p.lines) for p in printed.pages_of(blocks.body_of(d, {"mb": 4.0}), {})] == [56, 44]
