@@ -11,7 +11,8 @@ offset o". A piece's rank among those of its length is its place within its inpu
 in the partitions before it, so no task ever holds a length's pieces together.
 
 Defined results: a null text counts as empty and is a piece of just the end id; a null id stays null; repeated
-rows are packed each; an empty table gives no rows; further columns are dropped.
+rows are packed each; an empty table gives no rows; a text of any length is cut into pieces; further columns are
+dropped. Ids come from the rank encoder of ``vocab``, which gives the library's ids (the tests compare every text).
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .token_output import unpack as unpacked_ids
 from .vocab import read, text_encoder
 
 CAPACITY = 1024
+#: Rows of partition and length that are broadcast, 150 bytes each as the tool measures them.
+BASES = 250_000
 #: Groups of large lengths; the shares of the capacity, tried in turn, up to which a length is small; steps of column generation.
 GROUPS, SMALL, STEPS = 64, (1 / 16, 1 / 4, 1 / 2), 400
 
@@ -274,10 +277,11 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
     pieces = spool(id_and_text(docs, id_col, text_col).mapInArrow(Cut(read(tokenizer_path), end_id, capacity), "part int, doc_id long, piece int, start long, length long, place long, ids binary"), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # one row per input partition; the optimiser broadcasts it only while it is small
-    bases = counts.select("part", "length", before.alias("before")).groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "before"))).alias("bases"))
+    # pieces of a length in the partitions before: broadcast while they are few, else met by a shuffle on both columns
+    bases = spool(counts.select("part", "length", before.alias("before")), "bases")
+    bases = F.broadcast(bases) if bases.count() <= BASES else bases.hint("merge")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     filled = plan(histogram, capacity, groups, small)
 
-    ranked = pieces.join(bases, "part").select("doc_id", "piece", "start", "length", (F.col("place") + F.element_at("bases", F.col("length"))).alias("rank"), "ids")
+    ranked = pieces.join(bases, ["part", "length"]).select("doc_id", "piece", "start", "length", (F.col("place") + F.col("before")).alias("rank"), "ids")
     return ranked.mapInArrow(Place(filled), "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
