@@ -346,3 +346,121 @@ def reader_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.when(k == 0, F.lit(b"")).when(k == 1, F.lit(bytes(range(1, 26)) * 9)).otherwise(F.encode(F.concat(F.regexp_replace("text", r"[^\x00-\x7f]", "x"), F.lit("\r\nend\r\nof it\r\n")), "US-ASCII"))
     made = emit.convert(table(spark, sf_dir, "documents").select("doc_id", content.alias("content")), to="text", partitions=partitions(spark))
     return made.select("doc_id", "error.kind", F.col("output").isNotNull().alias("has_output"))
+
+
+def text_of(spark: SparkSession, held: DataFrame) -> DataFrame:
+    return emit.convert(held, to="text", variant="ws5+", partitions=partitions(spark)).select("doc_id", "output")
+
+
+@query(
+    "paragraph_text",
+    f"""WITH {SEEN}, u AS (SELECT doc_id, pos, CASE WHEN pos % 4 = 0 THEN '     ' ELSE '' END || line || repeat(' x', 40) || '.' AS line, sum(CASE WHEN pos % 4 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS unit FROM seen),
+    p AS (SELECT doc_id, unit, string_agg(line, ' ' ORDER BY pos) AS said FROM u GROUP BY doc_id, unit) SELECT doc_id, string_agg(said, chr(10) || chr(10) ORDER BY unit) || chr(10) AS output FROM p GROUP BY doc_id""",
+)
+def paragraph_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with hard returns, too long for verse: an indented one begins a paragraph, flush ones go on with it."""
+    framed = F.transform("l", lambda x, k: F.concat(F.when(k % 4 == 0, F.lit("     ")).otherwise(F.lit("")), x, F.lit(" x" * 40 + ".\r\n")))
+    return text_of(spark, files(latin_lines(spark, sf_dir), framed))
+
+
+@query(
+    "soft_wrapped_text",
+    f"""WITH {SEEN}, g AS (SELECT doc_id, pos, CASE WHEN pos % 3 = 1 THEN line || '-' ELSE line END AS line, pos // 5 AS para FROM seen),
+    p AS (SELECT doc_id, para, string_agg(line || CASE WHEN pos % 5 = 4 OR pos % 3 = 1 THEN '' ELSE ' ' END, '' ORDER BY pos) AS said FROM g GROUP BY doc_id, para)
+    SELECT doc_id, string_agg(rtrim(said, ' '), chr(10) || chr(10) ORDER BY para) || chr(10) AS output FROM p GROUP BY doc_id""",
+)
+def soft_wrapped_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Soft returns join by a space, but not behind a hyphen; each fifth line ends a paragraph."""
+    last = F.size("l") - 1
+    framed = F.transform("l", lambda x, k: F.concat(x, F.when(k % 3 == 1, F.lit("-")).otherwise(F.lit("")), F.when((k % 5 == 4) | (k == last), F.lit("\r\n\r\n")).otherwise(F.lit("\x8d\n"))))
+    return text_of(spark, files(latin_lines(spark, sf_dir), framed))
+
+
+_VERSE = """w AS (SELECT doc_id, string_split(replace(translate(text, 'ÈÓÊÍ', '????'), chr(10), ' '), ' ') AS w FROM documents),
+    l AS (SELECT doc_id, unnest(range(0, len(w), 3)) AS k, w FROM w), m AS (SELECT doc_id, k // 3 AS pos, array_to_string(w[k + 1:k + 3], ' ') AS line FROM l),
+    s AS (SELECT *, length(line) + 5 AS n, length(line) + 5 < 55 AS short FROM m), b AS (SELECT *, short OR (n < 65 AND coalesce(lag(short) OVER o, false) AND coalesce(lead(short) OVER o, false)) AS run FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+    i AS (SELECT *, sum(CASE WHEN run AND coalesce(lag(run) OVER o, false) THEN 0 ELSE 1 END) OVER o AS island FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY pos))"""
+
+
+@query(
+    "verse_text",
+    rf"""WITH {_VERSE.replace("i AS (SELECT *, sum(CASE WHEN run AND coalesce(lag(run) OVER o, false) THEN 0 ELSE 1 END) OVER o AS island FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY pos))", "j AS (SELECT *, CASE WHEN run AND coalesce(lag(run) OVER (PARTITION BY doc_id ORDER BY pos), false) THEN 0 ELSE 1 END AS turn FROM b), i AS (SELECT *, sum(turn) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM j)")},
+    f AS (SELECT *, regexp_matches(line, '\p{{L}}') AS letters, regexp_matches(rtrim(rtrim(line), '"''’”'), '[.!?]$') AS ended, regexp_matches(line, '^["''‘“].*["''’”]') AS quoted FROM i),
+    g AS (SELECT doc_id, island, count(*) FILTER (letters) AS scored, count(*) FILTER (letters AND ended) AS ended, count(*) FILTER (letters AND quoted) AS quoted, count(*) AS n FROM f GROUP BY doc_id, island),
+    v AS (SELECT *, n >= 2 AND scored >= 2 AND 3 * quoted < scored AND ended / scored < 0.8 AS verse FROM g),
+    p AS (SELECT doc_id, island, CASE WHEN verse THEN string_agg('     ' || line, chr(10) ORDER BY pos) ELSE string_agg('     ' || line, chr(10) || chr(10) ORDER BY pos) END AS said FROM f JOIN v USING (doc_id, island) GROUP BY doc_id, island, verse)
+    SELECT doc_id, string_agg(said, chr(10) || chr(10) ORDER BY island) || chr(10) AS output FROM p GROUP BY doc_id""",
+)
+def verse_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indented lines of three words: runs of short ones are a stanza or paragraphs, by how they end."""
+    words = F.split(F.array_join("l", " "), " ", -1)
+    rows = F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(3)), lambda k: F.concat(F.lit("     "), F.array_join(F.slice("w", k + 1, F.lit(3)), " "), F.lit("\r\n")))
+    return text_of(spark, files(latin_lines(spark, sf_dir).select("doc_id", words.alias("w")), rows))
+
+
+#: Five rows more behind each document's, so that each marker opens two lines at least.
+_MORE = "more AS (SELECT doc_id, pos, line FROM seen UNION ALL SELECT doc_id, max(pos) + 1 + j, 'row ' || j FROM seen, range(5) AS t(j) GROUP BY doc_id, j)"
+
+
+def html_of(spark: SparkSession, held: DataFrame) -> DataFrame:
+    made = emit.convert(held, to="html", variant="ws5+", partitions=partitions(spark))
+    return made.select("doc_id", F.regexp_extract("output", r"(?s)<body>\n(.*)</body></html>\n$", 1).alias("output"))
+
+
+_ESCAPED = "replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
+@query(
+    "nested_lists",
+    f"""WITH {SEEN}, {_MORE}, r AS (SELECT doc_id, pos, {_ESCAPED} AS line, CASE WHEN pos % 3 = 1 THEN 2 ELSE 1 END AS level, lag(CASE WHEN pos % 3 = 1 THEN 2 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM more),
+    s AS (SELECT *, CASE WHEN before IS NULL OR level > before THEN '<ul><li>' WHEN level = before THEN '</li><li>' ELSE '</li></ul></li><li>' END || line AS said FROM r)
+    SELECT doc_id, string_agg(said, '' ORDER BY pos) || CASE WHEN arg_max(level, pos) = 2 THEN '</li></ul></li></ul>' ELSE '</li></ul>' END AS output FROM s GROUP BY doc_id""",
+)
+def nested_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers at two columns: lists in lists."""
+    held = latin_lines(spark, sf_dir).select("doc_id", F.concat("l", F.array(*[F.lit(f"row {k}") for k in range(5)])).alias("l"))
+    marked = F.transform("l", lambda x, k: F.concat(F.when(k % 3 == 1, F.lit("   \x1b\xa8\x1c ")).otherwise(F.lit("\x1b\xaf\x1c ")), x, F.lit("\r\n")))
+    return html_of(spark, files(held, marked))
+
+
+@query(
+    "definition_lists",
+    f"""WITH {SEEN}, r AS (SELECT doc_id, pos, {_ESCAPED} AS line FROM seen) SELECT doc_id, '<dl>' || string_agg('<dt>term' || pos || ':</dt><dd>' || line || '</dd>', '' ORDER BY pos) || '</dl>' AS output FROM r GROUP BY doc_id""",
+)
+def definition_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label, two spaces or more, and what it means."""
+    return html_of(spark, files(latin_lines(spark, sf_dir), F.transform("l", lambda x, k: F.concat(F.lit("term"), k.cast("string"), F.lit(":   "), x, F.lit("\r\n")))))
+
+
+@query(
+    "aligned_blocks",
+    f"""WITH {SEEN}, r AS (SELECT doc_id, pos, {_ESCAPED} AS line, pos % 3 AS k FROM seen)
+    SELECT doc_id, string_agg('<p' || CASE k WHEN 0 THEN ' style="text-align:center;line-height:1.2"' WHEN 1 THEN ' style="text-align:right"' ELSE '' END || '>' || line || '</p>' || chr(10), '' ORDER BY pos) AS output FROM r GROUP BY doc_id""",
+)
+def aligned_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centred, right-aligned and plain blocks; the spaces that typed alignment put there go."""
+    command = lambda k: F.when(k % 3 == 0, F.lit(".oc on\r\n")).when(k % 3 == 1, F.lit(".oc off\r\n.oj r\r\n")).otherwise(F.lit(".oj off\r\n"))
+    pad = lambda k: F.when(k % 3 == 2, F.lit("")).otherwise(F.lit("   "))
+    return html_of(spark, files(latin_lines(spark, sf_dir), F.transform("l", lambda x, k: F.concat(command(k), pad(k), x, F.lit("\r\n\r\n")))))
+
+
+@query(
+    "column_blocks",
+    f"""WITH {SEEN}, r AS (SELECT doc_id, pos, {_ESCAPED} AS line, pos % 2 = 0 AS wide FROM seen) SELECT doc_id, string_agg(CASE WHEN wide THEN '<div style="column-count:2; column-gap:0.30in"><p>' || line || '</p></div>' ELSE '<p>' || line || '</p>' END || chr(10), '' ORDER BY pos) AS output FROM r GROUP BY doc_id""",
+)
+def column_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_of(spark, files(latin_lines(spark, sf_dir), F.transform("l", lambda x, k: F.concat(F.when(k % 2 == 0, F.lit('.co2, 0.3"\r\n')).otherwise(F.lit(".co 1\r\n")), x, F.lit("\r\n\r\n")))))
+
+
+@query(
+    "rtf_page_setup",
+    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '\\paperw20160\\paperh12240' ELSE '\\paperw12240\\paperh20160' END || '\\margl' || (doc_id % 9 + 1) * 144 || '\\margr' || (doc_id % 9 + 1) * 144 || '\\margt' || (doc_id % 7 + 1) * 240 || '\\margb1440' || CASE WHEN doc_id % 2 = 0 THEN '\\landscape' ELSE '' END AS setup,
+      '-' || (doc_id % 5 + 6) * 30 AS lead FROM documents""",
+)
+def rtf_page_setup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page size, margins, orientation and line height in twips."""
+    d = F.col("doc_id")
+    n = lambda m, plus: (d % m + plus).cast("string")
+    content = F.concat(F.lit('.pl 14"\r\n.mb 6\r\n.po '), n(9, 1), F.lit("\r\n.mt "), n(7, 1), F.lit("\r\n.lh "), n(5, 6), F.lit("\r\n"), F.when(d % 2 == 0, F.lit(".pr or=l\r\n")).otherwise(F.lit("")), F.lit("body\r\n"))
+    made = emit.convert(table(spark, sf_dir, "documents").select("doc_id", F.encode(content, "US-ASCII").alias("content")), to="rtf", mode="printed", variant="ws5+")
+    return made.select("doc_id", F.regexp_extract("output", r"(\\paperw\d+\\paperh\d+\\margl\d+\\margr\d+\\margt\d+\\margb\d+(\\landscape)?)", 1).alias("setup"), F.regexp_extract("output", r"\\sl(-\d+)\\slmult0", 1).alias("lead"))
