@@ -321,19 +321,23 @@ def _library() -> bytes:
     return head + bytes([2]) + bytes(4) + entry(b"Title", 84) + entry(b"Block Quote", 186) + record(0, 2) + record(-2, 0)
 
 
+def styled(spark: SparkSession, sf_dir: str, slot) -> DataFrame:
+    """Documents with a style library; before each line the style is selected that its place names."""
+    select = lambda k: block(0x11, F.concat(char(slot(k)), char(2), *[char(0)] * 6))
+    text = latin_lines(spark, sf_dir).select("doc_id", F.array_join(F.transform("l", lambda x, k: F.concat(select(k), x, F.lit("\r\n\r\n"))), "").alias("t"))
+    size = F.length("t") + 27  # the header block's own length is 27
+    pointer = F.concat(u16(size % 65536), u16(F.floor(size / 65536).cast("int")))
+    header = block(0, F.concat(char(0x55), F.lit("LASER"), *[char(0)] * 6, pointer, *[char(0)] * 4))
+    return text.select("doc_id", F.concat(F.encode(F.concat(header, "t"), "ISO-8859-1"), F.lit(_library())).alias("content"))
+
+
 @query(
     "styled_blocks",
     f"WITH {SEEN} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS n, line AS text, CASE pos % 2 WHEN 0 THEN 'Title' ELSE 'Block Quote' END AS style, CASE WHEN pos % 2 = 0 THEN 1::BIGINT END AS heading, CASE pos % 2 WHEN 0 THEN 'left' ELSE 'center' END AS align, pos % 2 = 1 AS quote FROM seen",
 )
 def styled_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A style library, and a selection of one of its styles before each line."""
-    select = lambda k: block(0x11, F.concat(char(F.when(k % 2 == 0, 0).otherwise(1)), char(2), *[char(0)] * 6))
-    text = latin_lines(spark, sf_dir).select("doc_id", F.array_join(F.transform("l", lambda x, k: F.concat(select(k), x, F.lit("\r\n\r\n"))), "").alias("t"))
-    size = F.length("t") + 27 + 0  # the header block's own length is 27
-    pointer = F.concat(u16(size % 65536), u16(F.floor(size / 65536).cast("int")))
-    header = block(0, F.concat(char(0x55), F.lit("LASER"), *[char(0)] * 6, pointer, *[char(0)] * 4))
-    content = F.concat(F.encode(F.concat(header, "t"), "ISO-8859-1"), F.lit(_library()))
-    found = blocks.read_blocks(text.select("doc_id", content.alias("content")), partitions=partitions(spark))
+    found = blocks.read_blocks(styled(spark, sf_dir, lambda k: k % 2), partitions=partitions(spark))
     paras = F.filter("blocks", lambda b: b["kind"] == "para")
     rows = found.select("doc_id", F.posexplode(paras).alias("n", "b"))
     return rows.select("doc_id", F.col("n").cast("long").alias("n"), F.col("b.lines")[0]["text"].alias("text"), "b.style", F.col("b.heading").cast("long").alias("heading"), "b.align", "b.quote")
@@ -464,3 +468,55 @@ def rtf_page_setup(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.concat(F.lit('.pl 14"\r\n.mb 6\r\n.po '), n(9, 1), F.lit("\r\n.mt "), n(7, 1), F.lit("\r\n.lh "), n(5, 6), F.lit("\r\n"), F.when(d % 2 == 0, F.lit(".pr or=l\r\n")).otherwise(F.lit("")), F.lit("body\r\n"))
     made = emit.convert(table(spark, sf_dir, "documents").select("doc_id", F.encode(content, "US-ASCII").alias("content")), to="rtf", mode="printed", variant="ws5+")
     return made.select("doc_id", F.regexp_extract("output", r"(\\paperw\d+\\paperh\d+\\margl\d+\\margr\d+\\margt\d+\\margb\d+(\\landscape)?)", 1).alias("setup"), F.regexp_extract("output", r"\\sl(-\d+)\\slmult0", 1).alias("lead"))
+
+
+@query(
+    "quote_groups",
+    f"""WITH {SEEN}, r AS (SELECT doc_id, pos, pos // 2 AS pair, {_ESCAPED} AS line FROM seen),
+    g AS (SELECT doc_id, pair, CASE WHEN pair % 2 = 0 THEN string_agg('<h1 class="ws-0-title">' || line || '</h1>' || chr(10), '' ORDER BY pos) ELSE '<blockquote>' || string_agg('<p class="ws-1-block-quote" style="text-align:center;line-height:1.2">' || line || '</p>', '' ORDER BY pos) || '</blockquote>' || chr(10) END AS said FROM r GROUP BY doc_id, pair)
+    SELECT doc_id, string_agg(said, '' ORDER BY pair) AS output, '.ws-0-title {{ text-align:left; font-weight:bold }}' AS title_rule FROM g GROUP BY doc_id""",
+)
+def quote_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings and quotations by style; neighbouring quotations are one. And the style's rule."""
+    made = emit.convert(styled(spark, sf_dir, lambda k: F.floor(k / 2).cast("int") % 2), to="html", partitions=partitions(spark))
+    return made.select("doc_id", F.regexp_extract("output", r"(?s)<body>\n(.*)</body></html>\n$", 1).alias("output"), F.regexp_extract("output", r"(\.ws-0-title \{[^}]*\})", 1).alias("title_rule"))
+
+
+@query("rtf_styles", "SELECT doc_id, '{\\stylesheet{\\s0 Normal;}{\\s1\\b Title;}{\\s2\\qc Block Quote;}}' AS sheet, len(string_split(text, chr(10)))::BIGINT AS n_styled FROM documents".replace("\\\\", "\\"))
+def rtf_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = emit.convert(styled(spark, sf_dir, lambda k: k % 2), to="rtf", partitions=partitions(spark))
+    return made.select("doc_id", F.regexp_extract("output", r"(\{\\stylesheet.*?;\}\})", 1).alias("sheet"), F.regexp_count("output", F.lit(r"(?m)(^|\\slmult0 |\\li\d+ |\\ri\d+ |\\q[lc] )?\\s[12] ")).cast("long").alias("n_styled"))
+
+
+@query("rtf_colours", "SELECT doc_id, 'red' || CASE WHEN doc_id % 15 + 1 > 8 AND (doc_id % 15 + 1) // 4 % 2 = 1 THEN 255 WHEN (doc_id % 15 + 1) // 4 % 2 = 1 THEN 170 WHEN doc_id % 15 + 1 >= 8 THEN 85 ELSE 0 END AS red, 'cf' || (doc_id % 15 + 2) AS control, 16::BIGINT AS n_colours FROM documents")
+def rtf_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A colour table where a colour is used, and the control that names the colour's place there."""
+    d = F.col("doc_id").cast("int")
+    content = F.concat(F.lit("none "), block(1, F.concat(char(d % 15 + 1), char(0))), F.lit("hue\r\n"))
+    made = emit.convert(table(spark, sf_dir, "documents").select("doc_id", F.encode(content, "ISO-8859-1").alias("content")), to="rtf", variant="ws5+")
+    colours = F.regexp_extract_all("output", F.lit(r"\\(red\d+)\\green\d+\\blue\d+;"), F.lit(1))
+    control = F.regexp_extract("output", r"\\(cf\d+) hue", 1)
+    return made.select("doc_id", F.element_at(colours, F.substring(control, 3, 9).cast("int")).alias("red"), control.alias("control"), F.size(colours).cast("long").alias("n_colours"))
+
+
+@query("contents_pages", f"WITH {SEEN} SELECT doc_id, string_agg('Entry ' || pos || ' ' || (2 * pos // 55 + 1), '|' ORDER BY pos) AS entries FROM seen WHERE pos % 8 = 2 GROUP BY doc_id")
+def contents_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of contents with the printed page of the paragraph that follows."""
+    framed = F.transform("l", lambda x, k: F.concat(F.when(k % 8 == 2, F.concat(F.lit(".tc Entry "), k.cast("string"), F.lit("\r\n"))).otherwise(F.lit("")), x, F.lit("\r\n\r\n")))
+    made = emit.convert(files(latin_lines(spark, sf_dir), framed), to="rtf", mode="printed", variant="ws5+", partitions=partitions(spark), toc=True)
+    found = F.regexp_extract_all("output", F.lit(r"\{\\pard\\li0 ([^\\]*)\\par\}"), F.lit(1))
+    return made.select("doc_id", F.array_join(found, "|").alias("entries")).where("entries <> ''")
+
+
+@query(
+    "printed_heads",
+    f"""WITH {SEEN}, n AS (SELECT doc_id, count(*) AS n FROM seen GROUP BY doc_id), p AS (SELECT doc_id, unnest(range((2 * n + 54) // 55)) AS p, n FROM n),
+    h AS (SELECT p.doc_id, p.p, p.n, max(s.pos) AS since FROM p LEFT JOIN seen s ON s.doc_id = p.doc_id AND s.pos % 20 = 3 AND s.pos <= p.p * 55 // 2 GROUP BY p.doc_id, p.p, p.n)
+    SELECT doc_id, (p + 1)::BIGINT AS page, 'Head ' || since AS head, least(55, 2 * n - 55 * p)::BIGINT AS n_lines FROM h""",
+)
+def printed_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed pages of the layout: their lines, and the running head that was in force when they began."""
+    framed = F.transform("l", lambda x, k: F.concat(F.when(k % 20 == 3, F.concat(F.lit(".he Head "), k.cast("string"), F.lit("\r\n"))).otherwise(F.lit("")), x, F.lit("\r\n\r\n")))
+    made = emit.convert(files(latin_lines(spark, sf_dir), framed), to="layout", variant="ws5+", partitions=partitions(spark))
+    pages = F.from_json("output", "printed struct<pages:array<struct<headers:map<string,string>,lines:array<struct<cost:double>>>>>")["printed"]["pages"]
+    return made.select("doc_id", F.posexplode(pages).alias("p", "x")).select("doc_id", (F.col("p") + 1).cast("long").alias("page"), F.try_element_at("x.headers", F.lit("1")).alias("head"), F.size("x.lines").cast("long").alias("n_lines"))
