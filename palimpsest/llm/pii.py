@@ -11,8 +11,8 @@ in whichever order it is written.)
 kind   format kept
 email  domain, and the classes (lower, upper, digit, other) of the local part's characters
 iban   country, length, classes of characters; check digits are valid again
-phone  country code and separators
-ssn    separators
+phone  country code and separators; the form is all there is to validate
+ssn    separators; area, group and serial are in the ranges that are given out
 card   separators and length; the check digit is valid again
 ip     four octets
 date   a day from 1900-01-01 to 2099-12-31, in the form it was written in
@@ -22,7 +22,9 @@ within its class, by a keyed hash of the other half. Days go through one over 17
 An octet quadruple goes through one over 65536 x 65536.
 
 Defined results: a null text stays null with no pseudonyms; a null id stays null; repeated rows give repeated rows;
-an empty table gives an empty one. ``pseudonymize`` keeps all other columns, whatever their names.
+an empty table gives an empty one; a text of any length is split once, in the row; overlapping candidates go to the kind
+that comes first. ``pseudonymize`` keeps all other columns, whatever their names. The key is the caller's secret: who has
+it can invert every pseudonym.
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "iban", "phone", "ssn", "card", "ip", "date")
 ROUNDS = 8
-KEY = "palimpsest"
 
 #: Length of an IBAN by country.
 IBAN_LENGTHS = {
@@ -50,11 +51,11 @@ PATTERNS = {
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
-    "date": r"(?<![0-9A-Za-z/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9A-Za-z/-])",
+    "date": r"(?<![0-9A-Za-z/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?!(?!T[0-9]{2}:)[0-9A-Za-z/-])",
 }
-# a card doesn't run on into what is a candidate of its own behind a space: a number with dots, slashes or dashes, or a card in fours
-_NEXT = "|".join([*(PATTERNS[k] for k in ("phone", "ssn", "ip", "date")), r"[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9A-Za-z])"])
-PATTERNS["card"] = rf"(?<![0-9A-Za-z])[0-9](?:(?! (?:{_NEXT}))[ -]?[0-9]){{12,18}}(?![0-9A-Za-z])"
+# a run of groups of digits, in which cards are looked for; it doesn't run on into what is a candidate of its own behind a space
+_NEXT = "|".join(PATTERNS[k] for k in ("phone", "ssn", "ip", "date"))
+PATTERNS["card"] = rf"(?<![0-9A-Za-z])[0-9](?:(?! (?:{_NEXT}))[ -]?[0-9]){{12,80}}(?![0-9A-Za-z])"
 ANY = "|".join(PATTERNS.values())
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)  # 17 x 4297 days, to 2099-12-31
 
@@ -164,13 +165,26 @@ def _iban_or_prefix(m: Column, key: str) -> Column:
 
 
 def _card_or_part(m: Column, key: str) -> Column:
-    """Groups of digits before or behind a card (an expiry, a code) may look like groups of it. A run of groups within
-    the candidate counts if its groups have three digits in the mean: single digits in a row are a table, not a card."""
-    runs = F.flatten(F.transform(F.sequence(F.lit(0), F.size(F.split(m, "[ -]")) - 1), lambda i: _groups(m, i)))
+    """A run of groups of digits may hold cards among other numbers (an expiry, a code, a year). From left to right, the
+    longest valid card that begins with a group is replaced. Groups of a card have three digits or more in the mean: single
+    digits in a row are a table, not a card."""
+    n = F.length(_digits(m))
     digits = lambda r: F.length(_digits(r["s"]))
-    valid = lambda r: (digits(r) >= 13) & (digits(r) >= 3 * F.size(F.split(r["s"], "[ -]"))) & (luhn_sum(_digits(r["s"])) % 10 == 0)
-    part = _within(m, runs, valid, lambda s: _card(s, key))
-    return F.when((luhn_sum(_digits(m)) % 10 != 0) & m.rlike("[ -]"), part).otherwise(_card(m, key))
+    valid = lambda r: digits(r).between(13, 19) & (digits(r) >= 3 * F.size(F.split(r["s"], "[ -]"))) & (luhn_sum(_digits(r["s"])) % 10 == 0)
+    groups = F.split(m, "[ -]")
+
+    def step(x: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.length(F.array_join(F.slice(groups, 1, i), " ")) + 1).otherwise(0)
+        separator = F.when(i > 0, F.substring(m, before, F.lit(1))).otherwise(F.lit(""))
+        best = F.array_max(F.filter(F.slice(_groups(m, i), 1, 6), valid))  # six groups of three digits hold 18
+        # one element, so that the run is found once
+        made = F.transform(F.array(best), lambda r: F.struct(F.concat(x["out"], separator, F.when(r.isNotNull(), _card(r["s"], key)).otherwise(F.get(groups, i))).alias("out"), (i + F.when(r.isNotNull(), F.size(F.split(r["s"], "[ -]"))).otherwise(1)).alias("skip")))
+        return F.when(i < x["skip"], x).otherwise(F.get(made, F.lit(0)))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("skip"))
+    parts = F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step, lambda x: x["out"])
+    whole = n.between(13, 19) & (luhn_sum(_digits(m)) % 10 == 0)
+    return F.when(whole, _card(m, key)).when(m.rlike("[ -]"), parts).otherwise(m)
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -186,6 +200,18 @@ def _card(m: Column, key: str) -> Column:
     return F.when(luhn_sum(d) % 10 == 0, _refilled(m, F.concat(body, check.cast("string")), "[0-9]")).otherwise(m)
 
 
+def _ssn(m: Column, key: str) -> Column:
+    """Areas are 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999: 898 x 99 x 9999 numbers."""
+    area, group, serial = (F.get(F.split(m, "-"), F.lit(k)).cast("long") for k in range(3))
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    place = area - F.when(area > 666, 2).otherwise(1)
+    new = permuted_number((place * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, key, "ssn")
+    at = F.floor(new / (99 * 9999))
+    digits = lambda n, width: F.lpad(n.cast("long").cast("string"), width, "0")
+    made = F.concat_ws("-", digits(at + F.when(at >= 665, 2).otherwise(1), 3), digits(F.floor(new / 9999) % 99 + 1, 2), digits(new % 9999 + 1, 4))
+    return F.when(valid, made).otherwise(m)
+
+
 def _ip(m: Column, key: str) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
     n = F.aggregate(octets, F.lit(0).cast("long"), lambda x, o: x * 256 + o)
@@ -221,11 +247,10 @@ def kind_of(m: Column) -> Column:
     return out
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """The candidate's pseudonym, or the candidate itself where it isn't valid."""
     kind = kind_of(m)
-    ssn = _refilled(m, permuted(_digits(m), key, "ssn"), "[0-9]")
-    made = {"email": _email(m, key), "iban": _iban_or_prefix(m, key), "phone": _phone(m, key), "ssn": ssn, "card": _card_or_part(m, key), "ip": _ip(m, key), "date": _date(m, key)}
+    made = {"email": _email(m, key), "iban": _iban_or_prefix(m, key), "phone": _phone(m, key), "ssn": _ssn(m, key), "card": _card_or_part(m, key), "ip": _ip(m, key), "date": _date(m, key)}
     out = F
     for k in KINDS:
         out = out.when(kind == k, made[k])
@@ -243,7 +268,7 @@ def replaced(text: Column, candidates: Column, pseudonyms: Column) -> Column:
     return F.when(F.size(candidates) > 0, F.array_join(pieces, "")).otherwise(text)
 
 
-def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = KEY, found_col: str | None = None, seen_col: str | None = None) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", found_col: str | None = None, seen_col: str | None = None) -> DataFrame:
     """The rows with the text column replaced; ``found_col`` and ``seen_col``, if named, get the arrays of
     pseudonyms and of the candidates they stand for. No shuffle, no Python, rows stay where they are."""
     names = list(docs.columns)

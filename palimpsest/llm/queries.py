@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from . import bpe, media, nndescent, packing, pii, probminhash, secrets, token_counts, token_output, toxicity
 
 
+#: For the queries over synthetic tables; a corpus has a key of its own.
+KEY = "palimpsest"
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -46,7 +50,7 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    p = pii.pseudonymize(docs, found_col="pseudonyms", seen_col="seen")
+    p = pii.pseudonymize(docs, KEY, found_col="pseudonyms", seen_col="seen")
     changed = F.size(F.filter(F.zip_with("seen", "pseudonyms", lambda a, b: a != b), lambda x: x))
     return p.select("doc_id", "text", changed.cast("long").alias("n_pseudonyms"))
 
