@@ -13,7 +13,10 @@ are one node from the start. Classes are the connected components of the links.
 
 Defined results: a null text counts as empty; texts without words are alike only if they are equal; a text of fewer
 than five words is one shingle; ``class_id`` is the least doc_id of the class, null only if all its ids are null;
-repeated rows and ids are kept; an empty table gives an empty one; further columns are dropped.
+repeated rows and ids are kept; an empty table gives an empty one; a text of any length is taken whole, and a very long
+one is held alone; further columns are dropped. Similarity is exact, so what a copy may differ in is fixed by it: one
+edited word changes five shingles, and two texts of n words that differ in k words far apart are alike up to about
+k = n / 45.
 """
 
 from __future__ import annotations
@@ -36,10 +39,10 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
 REGISTERS = BANDS * ROWS
 #: Texts, and their bytes, whose registers are filled together; texts in a block of a divided bucket.
-TOGETHER, TOGETHER_BYTES, BLOCK = 1_000, 4 << 20, 256
+TOGETHER, TOGETHER_BYTES, BLOCK = 1_000, 1 << 20, 256
 #: Rows of one key that a join by shuffle takes whatever their share is; rows to be dropped that are broadcast.
 HOT, DROPPED = 1_000, 1_000_000
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _word = re.compile(r"\w+")
