@@ -33,7 +33,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = media.media(table(spark, sf_dir, "documents"), hop=media.HOP, reach=media.TARGETS)
+    m = media.media(table(spark, sf_dir, "documents"))
     payload = F.col("payload")
     n = F.length(payload).cast("long")
     return m.select(
@@ -44,7 +44,7 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring(payload, -16, 16)).alias("tail_crc32"),
         F.length("wav").cast("long").alias("media_bytes"),
         F.sha2("wav", 256).alias("media_sha256"),
-        F.concat_ws(":", F.length("fp_code") / 4, F.sha2(F.concat("fp_time", "fp_code"), 256)).alias("feature"),
+        F.concat_ws(":", F.size("fp_code"), F.hex(F.xxhash64("fp_time", "fp_code"))).alias("feature"),
     )
 
 
