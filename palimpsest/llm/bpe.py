@@ -6,7 +6,8 @@ chunks are stitched at the first boundary they share in their overlap. Each piec
 is then encoded by rank, and decoding concatenates the raw bytes of the ids.
 
 Defined results: a null text counts as empty and has no ids; a null id stays null; repeated rows give
-repeated results; an empty table gives an empty one; further columns are dropped.
+repeated results; an empty table gives an empty one; a text of any length is encoded whole,
+in chunks, in time linear in its length; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -86,18 +87,22 @@ def stitched(text: str, scan: Callable[[str], list[str]], chunk: int = CHUNK, ov
     spans = windows(len(text), chunk, overlap)
     begin, end = spans[0]
     held = scan(text[begin:end])  # begins at a true boundary
+    goal = 0
     for start, stop in spans[1:]:
-        ahead = scan(text[start:stop])
-        candidates = _starts_from(start, ahead, end)
-        at, k = end, len(held)
+        if stop < goal and stop < len(text):
+            continue  # within one long match: the next scan is twice as long, so all scans are linear in its length
         cut = None
-        while k and at > start:  # from the back: tokens of the earlier scan inside the overlap
-            k -= 1
-            at -= len(held[k])
-            if at in candidates:
-                cut = (k, candidates[at], at)
+        if start < end:
+            ahead = scan(text[start:stop])
+            candidates = _starts_from(start, ahead, end)
+            at, k = end, len(held)
+            while k and at > start:  # from the back: tokens of the earlier scan inside the overlap
+                k -= 1
+                at -= len(held[k])
+                if at in candidates:
+                    cut = (k, candidates[at], at)
         if cut is None:  # one match covers the overlap: scan on from the last true boundary
-            held, end = scan(text[begin:stop]), stop
+            held, end, goal = scan(text[begin:stop]), stop, begin + 2 * (stop - begin)
             continue
         yield held[: cut[0]]
         held, begin, end = ahead[cut[1] :], cut[2], stop
