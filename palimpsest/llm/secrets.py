@@ -8,7 +8,8 @@ Kinds: the base ones ``assign``, ``access`` and ``hex``, always reported; and ``
 reported only where the counts say that the value is owner-specific, or for ``pem`` always.
 
 Defined results: a null text counts as empty and has no spans; a null source is an owner of its own kind
-(the empty name); a null id stays null; repeated rows give one row each; further columns are dropped.
+(the empty name); a null id stays null; repeated rows give one row each; an empty table
+gives an empty one; a text of any length is scanned whole, in linear time; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,14 +59,17 @@ def scan(text: str) -> list[Span]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
-    base = list(found)
+    base = sorted(found)
     if "eyJ" in text:
         found += [(m.start(), 4, m.end(), m[0]) for m in JWT.finditer(text)]
     if "PRIVATE KEY-----" in text:
         found += [(m.start(), 5, m.end(), m[0]) for m in PEM.finditer(text)]
+    starts = [x[0] for x in base]
+    reach = list(accumulate((x[2] for x in base), max))  # the farthest end of the spans up to each
     for m in TOKEN.finditer(text):
         value = m[0]
-        if not any(a < m.end() and m.start() < b for a, _, b, _ in base) and re.search("[a-z]", value) and re.search("[A-Z]", value) and re.search("[0-9]", value) and entropy(value) >= 4.0:
+        k = bisect_left(starts, m.end())
+        if not (k and reach[k - 1] > m.start()) and re.search("[a-z]", value) and re.search("[A-Z]", value) and re.search("[0-9]", value) and entropy(value) >= 4.0:
             found.append((m.start(), 3, m.end(), value))
     return sorted(found)
 
