@@ -15,7 +15,7 @@ stream is cut into chunks of equal length that advance together, one table looku
 
 Defined results: a null text counts as empty and has no token; special strings inside a text count as one token
 each, as the library has them; a null id stays null; repeated rows give repeated rows; an empty table gives an
-empty one; further columns are dropped.
+empty one; a text of any length is taken whole, in lanes; further columns are dropped.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from palimpsest.llm import nndescent, probminhash
@@ -94,20 +95,56 @@ def test_blocks_find_links_that_the_centre_misses(spark):
     """A bucket whose texts link among each other but not to its least member."""
     rng = np.random.default_rng(5)
     base = text_of(rng, 200)
-    texts = [edited(rng, base, 4) for _ in range(30)]
+    texts = [edited(rng, base, int(rng.integers(1, 5))) for _ in range(30)]
     signed = [probminhash.registers([probminhash.shingles(t)])[0] for t in texts]
-    import pandas as pd
-
     short = [probminhash.mixed(s).astype(np.uint32) for s in signed]
     first = short[0].copy()
     for s in short:
         s[:6] = first[:6]  # one bucket in band 0
-    pdf = pd.DataFrame({"band": 0, "key": 0, "node": [f"{k:02}".encode() for k in range(30)], "label": [f"{k:02}".encode() for k in range(30)], "block": [k % 2 for k in range(30)], "registers": [s.tobytes() for s in short], "text": texts, "i": 0, "j": 1})
-    found = probminhash.compare_blocks(pdf)
-    assert len(found) < 30
+    rows = pa.RecordBatch.from_pydict({"band": [0] * 30, "key": [0] * 30, "i": [1] * 30, "j": [0] * 30, "side": [0 if k % 2 else 2 for k in range(30)], "node": list(range(30)), "label": list(range(30)), "registers": [s.tobytes() for s in short], "text": texts})
     e = [probminhash.shingles(t) for t in texts]
-    for a, b in zip(found["a"], found["b"], strict=True):
-        assert probminhash.similarity(e[int(a)], e[int(b)]) >= 0.8
+    for maybe in (0, 0.6):
+        near = list(probminhash.Candidates(maybe)(iter([rows.slice(0, 11), rows.slice(11)])))
+        found = [(r["a"], r["b"]) for x in probminhash.Compare(maybe, 0.8)(iter(near)) for r in x.to_pylist()]
+        assert 0 < len(found) < 30
+        for a, b in found:
+            assert probminhash.similarity(e[a], e[b]) >= 0.8
+        # what the links join is what all similar pairs of the two blocks join
+        classes = [{k} for k in range(30)]
+        wanted = [{k} for k in range(30)]
+        for groups, pairs in ((classes, found), (wanted, [(x, y) for x in range(1, 30, 2) for y in range(0, 30, 2) if probminhash.similarity(e[x], e[y]) >= 0.8])):
+            for x, y in pairs:
+                gx, gy = next(g for g in groups if x in g), next(g for g in groups if y in g)
+                if gx is not gy:
+                    groups.remove(gy)
+                    gx |= gy
+        assert sorted(map(sorted, classes)) == sorted(map(sorted, wanted))
+
+
+def test_divided_buckets_by_brute_force(spark):
+    """Chains around many texts: buckets hold several components after the comparison with their least member."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for g in range(6):
+        base = text_of(rng, 150)
+        for k in range(25):
+            rows.append((100 * g + k, edited(rng, base, int(rng.integers(2, 8)))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = probminhash.near_duplicates(df, maybe=0).collect()
+    assert Counter((r["doc_id"], r["class_id"]) for r in got) == brute_classes(rows)
+    with pytest.raises(ValueError):
+        probminhash.near_duplicates(df, least=0.5)
+
+
+def test_near_copies_are_found(spark):
+    """Copies with one edited word in a hundred are classes; the recall is by definition of the similarity."""
+    rng = np.random.default_rng(10)
+    rows = []
+    for k in range(150):
+        text = text_of(rng, 200)
+        rows += [(2 * k, text), (2 * k + 1, edited(rng, text, 2))]
+    got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert np.mean([got[2 * k] == got[2 * k + 1] for k in range(150)]) >= 0.98
 
 
 def test_near_duplicate_edges(spark, edge, edge_texts, nothing):
@@ -168,19 +205,68 @@ def test_few_and_no_vectors(spark):
     assert nndescent.Index(df.where("false")).search(nndescent.F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_exact_search(spark):
+    x = np.random.default_rng(11).standard_normal((700, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nndescent.Index(df, shard=300).search(nndescent.F.col("vec_id") % 20 == 0, exact=True).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert found == np.lexsort((np.arange(700), -s))[:20].tolist()
+
+
+def test_op4_and_op5_by_brute_force(spark):
+    from palimpsest.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    texts = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = QUERIES["op4_probminhash"](spark, sf).collect()
+    assert Counter((r["doc_id"], r["class_id"]) for r in got) == brute_classes(texts)
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    want = brute_nearest(rows, 20, lambda i: i % 20 == 0)
+    found = {}
+    for r in QUERIES["op5_nndescent"](spark, sf).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert found.keys() == want.keys()
+    assert np.mean([len({j for j, _ in found[q]} & {j for j, _ in want[q]}) / len(want[q]) for q in want]) >= 0.9
+    for q, x in found.items():
+        assert x == sorted(x, key=lambda p: (-p[1], p[0])) and len(x) == len(want[q])
+
+
+def test_pipeline_edges(spark, edge, nothing, tmp_path):
+    """Nulls, long texts, repeated rows, clashing columns and an empty table, through all stages."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in (1, 2, 6, 7, 99)], "doc_id long, quality int, toxic int")
+    for name, docs in (("edge", edge), ("nothing", nothing)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        held = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            made = stage(spark, held, f"{tmp_path}/{name}")
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert made.columns == held.columns
+                made.write.parquet(f"{tmp_path}/{name}/stage{k}")
+                held = spark.read.parquet(f"{tmp_path}/{name}/stage{k}")
+        assert made.select("doc_id", "piece", "start", "length", "sequence_id", "offset").count() == (0 if name == "nothing" else made.count())
+
+
 def test_pipeline_by_brute_force(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     import corpus_pipeline
     from palimpsest.llm import pii, toxicity
+    from palimpsest.llm.queries import KEY
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     clean = [(r["doc_id"], r["text"]) for r in docs.collect() if model.score(r["text"] or "") < 0.5]
     kept = {c for _, c in brute_classes(clean)}
-    texts = {r["doc_id"]: r["text"] for r in pii.pseudonymize(spark.createDataFrame([x for x in clean if x[0] in kept], "doc_id long, text string")).collect()}
+    texts = {r["doc_id"]: r["text"] for r in pii.pseudonymize(spark.createDataFrame([x for x in clean if x[0] in kept], "doc_id long, text string"), KEY).collect()}
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = {i: np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for i, t in texts.items()}
     got = {}

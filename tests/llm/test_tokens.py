@@ -160,3 +160,76 @@ def test_registered_queries_match_the_libraries(spark, library):
         start += len(ids)
     for r in QUERIES["op1_byte_bpe"](spark, sf).collect():
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_one_run_of_a_match_is_scanned_in_linear_time():
+    scanned = 0
+    whole = regex.compile(P.PATTERN).findall
+
+    def scan(text):
+        nonlocal scanned
+        scanned += len(text)
+        return whole(text)
+
+    for text in ("x" * 400_000, "a b" * 1000 + "y" * 300_000 + " end", "\n  " * 50_000):
+        scanned = 0
+        assert [t for run in bpe.stitched(text, scan, 1_000, 100) for t in run] == whole(text)
+        assert scanned < 6 * len(text)
+
+
+def test_op1_and_op6_by_the_libraries(spark, small):
+    from palimpsest.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in small.collect()}
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(vocab.read(RANKS)), special_tokens={})
+    for r in QUERIES["op1_byte_bpe"](spark, sf).collect():
+        ids = encoding.encode_ordinary(texts[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest())
+    whole = Tokenizer.from_file(WORDS)
+    for r in QUERIES["op6_token_counts"](spark, sf).collect():
+        n = len(whole.encode(texts[r["doc_id"]], add_special_tokens=False).ids)
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(texts[r["doc_id"]].encode()), n, n > 2048)
+
+
+def test_op8_by_the_library(spark, small, library):
+    from palimpsest.llm.queries import QUERIES
+
+    want = {r["doc_id"]: [*library.encode(r["text"] or "", add_special_tokens=False).ids, 2] for r in small.collect()}
+    rows = QUERIES["op8_packing"](spark, "/root/testdata/sf0.001").orderBy("doc_id", "piece").collect()
+    ends, places = Counter(), {}
+    for r in rows:
+        assert r["start"] == ends[r["doc_id"]] and 0 < r["length"] <= 1024
+        part = want[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes())
+        ends[r["doc_id"]] += r["length"]
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert ends == {i: len(x) for i, x in want.items()}
+    for held in places.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    least = -(-sum(ends.values()) // 1024)
+    assert len(places) <= least + 2
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_vocabulary_encoder_on_every_text(spark, library, sf):
+    """The rank encoder that op7 and op8 use gives the library's ids on all texts of the tables."""
+    encode = vocab.text_encoder(vocab.read(JSON))
+    for (text,) in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("text").collect():
+        assert np.frombuffer(encode(text or ""), "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
+
+
+def test_several_megabytes_of_text(spark):
+    """A very long text goes whole through the token operators."""
+    text = "some words of a long text, 12 of them. " * 80_000
+    df = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    n = dict(token_counts.count_tokens(df, WORDS).select("doc_id", "n_tokens").collect())
+    assert n[1] == len(Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids)
+    rows = bpe.decode(bpe.encode(df, RANKS, P.PATTERN), RANKS).collect()
+    assert {r["doc_id"]: bytes(r["decoded"]) for r in rows} == {1: text.encode(), 2: b"short"}
+    path = token_output.write_tokens(df, JSON, end_id=0)
+    assert {r["doc_id"]: r["n_tokens"] for r in token_output.read_tokens(spark, path).collect()}[2] < 10
