@@ -4,19 +4,21 @@ An id's rank by corpus frequency (ties to the smaller id) is stored in one to fo
 bits each, stand apart in control bytes, four ids to a byte, so a reader looks four lengths up at once in a
 256-row table and gathers the data bytes without a loop over ids.
 
-Files: a Parquet container in the shared folder, so the format lives wherever Spark writes and a lost executor's
-half-written part is discarded. A row is a segment of whole documents in ascending doc_id order: its part and
-place, its documents' ids and lengths, and ``payload`` = magic, id count (8 bytes), control bytes, data bytes.
+Files: Parquet containers in one folder, so the format lives wherever Spark writes and a lost executor's
+half-written part is discarded. A row of ``segments`` is a segment of whole documents in ascending doc_id order: its part
+and place, its documents' ids and lengths, and ``payload`` = magic, id count (8 bytes), control bytes, data bytes.
+``ranks`` is the table of ids by rank. The folder is all that a reader needs.
 
 Order: by doc_id, null first; equal doc_ids by a hash of their ids and then by the ids, so repeated rows are
 stored next to each other and a doc_id that very many rows share is still dealt over many parts. A null text counts as empty
-and is stored as just the end id. An empty table gives no segment. Further columns are dropped.
+and is stored as just the end id. A text of any length is encoded whole; a segment holds whole documents, so a very long
+one is a segment of its own. An empty table gives no segment. Further columns are dropped. Ids come from the rank encoder
+of ``vocab``, which gives the library's ids (the tests compare every text).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -151,16 +153,9 @@ class Documents:
         yield from rows.flush()
 
 
-@dataclass
-class TokenFiles:
-    """Where the segments are, and the ids by rank that decode them."""
-
-    path: str
-    by_rank: np.ndarray
-
-
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> TokenFiles:
-    """Encodes every whole text, appends ``end_id``, and writes the files in ascending doc_id order."""
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> str:
+    """Encodes every whole text, appends ``end_id``, and writes the files in ascending doc_id order; the folder they are
+    in, which also holds the table of ids by rank and needs nothing else to be read."""
     spark = docs.sparkSession
     encoded = spool(id_and_text(docs, id_col, text_col).mapInArrow(Encode(read(tokenizer_path), end_id), "kind int, doc_id long, ids binary"), "ids")
     counted = encoded.where("kind = 1").mapInArrow(Counts(), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary at most
@@ -171,19 +166,22 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, path: st
     path = path or f"{shared_root(spark)}/spool/{spark.sparkContext.applicationId}/tokens-{np.random.default_rng().integers(1 << 62):x}"
     by_id = encoded.where("kind = 0").select("doc_id", "ids", F.xxhash64("ids").alias("tie"))
     ordered = by_id.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids").select("doc_id", "ids")
-    ordered.mapInArrow(Segments(rank, segment), SEGMENTS).write.option("compression", "zstd").parquet(path)
-    return TokenFiles(path, by_rank)
+    ordered.mapInArrow(Segments(rank, segment), SEGMENTS).write.option("compression", "zstd").parquet(f"{path}/segments")
+    spark.createDataFrame([(k, i) for k, i in enumerate(by_rank.tolist())], "rank int, id long").coalesce(1).write.parquet(f"{path}/ranks")
+    return path
 
 
 SEGMENTS = "part int, start long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
-def read_tokens(spark: SparkSession, files: TokenFiles) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` from the files; start counts the ids of all documents before it."""
-    segments = spark.read.schema(SEGMENTS).parquet(files.path)
+    segments = spark.read.schema(SEGMENTS).parquet(f"{path}/segments")
+    ranks = spark.read.schema("rank int, id long").parquet(f"{path}/ranks").orderBy("rank").collect()  # a row for each id of the vocabulary at most
+    by_rank = np.array([r["id"] for r in ranks], dtype=np.uint32)
     totals = segments.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # one row for each part
     base, at = {}, 0
     for r in totals:
         base[r["part"]] = at
         at += r["n"]
-    return segments.mapInArrow(Documents(files.by_rank, base), "doc_id long, start long, n_tokens long, ids binary")
+    return segments.mapInArrow(Documents(by_rank, base), "doc_id long, start long, n_tokens long, ids binary")
