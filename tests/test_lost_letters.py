@@ -20,7 +20,7 @@ def test_a_repeated_question_mark_is_a_marker_unless_it_stands_for_lost_letters(
     assert '"marker": "?"' in emit.layout(d) and '"marker": "?"' not in emit.layout(d, replaced=codec.LOST)
 
 
-@pytest.mark.parametrize("name", ["emit_html", "aligned_blocks"])
+@pytest.mark.parametrize("name", ["emit_html", "aligned_blocks", "column_blocks"])
 def test_query_keeps_them_as_its_sql_does(spark, tmp_path, name):
     spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
