@@ -63,6 +63,24 @@ def unpack(data: bytes | memoryview, n: int) -> np.ndarray:
     return value
 
 
+def stored(ids: np.ndarray) -> bytes:
+    """A document's ids between the passes: their width, then two bytes each, or four where one needs more."""
+    width = 2 if ids.max(initial=0) <= 0xFFFF else 4
+    return bytes([width]) + ids.astype(f"<u{width}").tobytes()
+
+
+def restored(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1)
+
+
+def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum of counts by id."""
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    total = a.copy()
+    total[: len(b)] += b
+    return total
+
+
 class Encode:
     """Ids with the end id; after a partition's documents, one row with its counts by id."""
 
@@ -74,15 +92,20 @@ class Encode:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, rows = text_encoder(self.data), Rows(self.schema)
         counts = np.zeros(0, dtype=np.int64)
+        held: list[np.ndarray] = []  # counted together: a count is as long as the largest id, whatever the document's length
+        n = 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 raw = np.frombuffer(encode(text.as_py()) + self.end, dtype="<u4")
-                ids = len(raw).to_bytes(8, "little") + pack(raw)  # half the bytes to store and shuffle
-                n = np.bincount(raw)
-                if len(n) > len(counts):
-                    counts = np.concatenate([counts, np.zeros(len(n) - len(counts), np.int64)])
-                counts[: len(n)] += n
+                held.append(raw)
+                n += len(raw)
+                if n >= SEGMENT:
+                    counts = added(counts, np.bincount(np.concatenate(held)))
+                    held, n = [], 0
+                ids = stored(raw)
                 yield from rows.add((0, doc_id, ids), len(ids))
+        if held:
+            counts = added(counts, np.bincount(np.concatenate(held)))
         yield from rows.add((1, None, counts.tobytes()), 8 * len(counts))
         yield from rows.flush()
 
@@ -94,9 +117,7 @@ class Counts:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for held in batch.column("ids"):
-                n = np.frombuffer(held.as_py(), dtype=np.int64)
-                total, n = (total, n) if len(total) >= len(n) else (n.copy(), total)
-                total[: len(n)] += n
+                total = added(total, np.frombuffer(held.as_py(), dtype=np.int64))
         (at,) = total.nonzero()
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], schema=self.schema)
 
@@ -120,8 +141,7 @@ class Segments:
 
         for batch in batches:
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                data = ids.as_py()
-                x = unpack(memoryview(data)[8:], int.from_bytes(data[:8], "little"))
+                x = restored(ids.as_py())
                 docs.append(doc_id)
                 held.append(x)
                 n += len(x)

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -95,6 +96,41 @@ def test_token_files(spark, edge, edge_texts, nothing, library):
     assert token_output.read_tokens(spark, token_output.write_tokens(nothing, JSON)).count() == 0
 
 
+def test_documents_are_counted_together(monkeypatch):
+    """op7: ids are counted once for many documents, and take two bytes each between the passes."""
+    calls, count = 0, np.bincount
+
+    def counted(*args, **more):
+        nonlocal calls
+        calls += 1
+        return count(*args, **more)
+
+    texts = [f"text {k} of many" for k in range(500)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(500)), "text": texts})
+    monkeypatch.setattr(np, "bincount", counted)
+    rows = [r for b in token_output.Encode(vocab.read(JSON), 0)(iter([batch])) for r in b.to_pylist()]
+    monkeypatch.undo()
+    assert calls == 1
+    encode = vocab.text_encoder(vocab.read(JSON))
+    want = [[*np.frombuffer(encode(t), "<u4").tolist(), 0] for t in texts]
+    assert [token_output.restored(r["ids"]).tolist() for r in rows[:-1]] == want
+    assert sum(len(r["ids"]) for r in rows[:-1]) == sum(1 + 2 * len(x) for x in want)
+    assert np.frombuffer(rows[-1]["ids"], np.int64).tolist() == count(np.concatenate(want)).tolist()
+
+
+@pytest.mark.parametrize("limit", [1, 7, 1 << 18])
+def test_counts_and_wide_ids(monkeypatch, limit):
+    """Ids that need more than two bytes, and counts that are summed after any number of ids, give the same files."""
+    wide = {"": [], "a": [65_535], "b": [65_536, 1], "c": [70_000, 0, 70_000], "d": [5] * 20}
+    monkeypatch.setattr(token_output, "text_encoder", lambda data: lambda text: np.array(wide[text], "<u4").tobytes())
+    monkeypatch.setattr(token_output, "SEGMENT", limit)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(5)), "text": list(wide)})
+    rows = [r for b in token_output.Encode(b"", 0)(iter([batch])) for r in b.to_pylist()]
+    want = [[*x, 0] for x in wide.values()]
+    assert [token_output.restored(r["ids"]).tolist() for r in rows[:-1]] == want
+    assert np.frombuffer(rows[-1]["ids"], np.int64).tolist() == np.bincount(np.concatenate(want)).tolist()
+
+
 def check_plan(histogram, capacity=1024):
     p = packing.plan(histogram, capacity)
     held = {}
